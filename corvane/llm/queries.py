@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, jaccard, packing, sharding, warc
+from . import ann, bpe, chat, embedding_dedup, jaccard, packing, sharding, warc
 from .common import table
 
 
@@ -15,6 +16,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.deduplicated_archive(table(spark, sf_dir, "pages"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted_digests(table(spark, sf_dir, "conversations"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
@@ -31,12 +36,23 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, top=20)
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_chat": op2_chat,
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_sharding": op7_sharding,
+    "op9_ann": op9_ann,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 #: Same names, DuckDB. Operators that SQL cannot express have none; tests hold them against brute force.
