@@ -37,19 +37,20 @@ def _powers_upto(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def word_hashes(data: np.ndarray, ends_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word of data (bytes; A-Z lower-cased, words between ASCII white space), and where it starts.
-    No word goes across the positions in ends_at (ascending). Works in blocks, so memory stays small for long texts."""
-    hashes, starts = [], []
+def word_hashes(data: np.ndarray, ends_at: np.ndarray, blank: np.ndarray = _BLANK, front: int = 0) -> tuple[np.ndarray, ...]:
+    """The hash of each word of data (bytes; A-Z lower-cased, words between bytes that are blank, by default ASCII
+    white space), and where it starts; with front, also the hash of its first `front` bytes, 0 for shorter words. No
+    word goes across the positions in ends_at (ascending). Works in blocks, so memory stays small for long texts."""
+    hashes, starts, fronts = [], [], []
     n, at = len(data), 0
     while at < n:
         end = min(n, at + _BLOCK)
-        while end < n and not _BLANK[data[end - 1]]:  # a block ends with a blank
-            more = np.flatnonzero(_BLANK[data[end : end + _BLOCK]])
+        while end < n and not blank[data[end - 1]]:  # a block ends with a blank
+            more = np.flatnonzero(blank[data[end : end + _BLOCK]])
             end = end + int(more[0]) + 1 if more.size else min(n, end + _BLOCK)
         part = data[at:end]
         inner = ends_at[np.searchsorted(ends_at, at) : np.searchsorted(ends_at, end)] - at
-        full = ~_BLANK[part]
+        full = ~blank[part]
         before = np.empty_like(full)
         before[0] = False
         before[1:] = full[:-1]
@@ -66,10 +67,13 @@ def word_hashes(data: np.ndarray, ends_at: np.ndarray) -> tuple[np.ndarray, np.n
         np.cumsum(_CODES[_LOWER[part]] * up[: len(part)], out=sums[1:])
         hashes.append(mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
         starts.append(first + at)
+        if front:
+            upto = np.minimum(first + front, last)
+            fronts.append(np.where(last - first >= front, mixed((sums[upto] - sums[first]) * down[first]), _U(0)))
         at = end
-    if not hashes:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(starts)
+    empty = [np.empty(0, np.uint64)]
+    out = np.concatenate(hashes or empty), np.concatenate(starts or [np.empty(0, np.int64)])
+    return (*out, np.concatenate(fronts or empty)) if front else out
 
 
 def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
