@@ -107,7 +107,7 @@ def _width(sample: np.ndarray, ranks: list[np.ndarray], top: int, recall: float,
     return int(np.ceil(need * count))
 
 
-def nearest(vectors: DataFrame, is_query, top: int = 20, orders: int = 4, dims: int = 4, bits: int = 8, range_rows: int = 1024, sample: int = 4096, recall: float = 0.93, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, top: int = 20, orders: int = 4, dims: int = 4, bits: int = 8, range_rows: int = 2048, sample: int = 4096, recall: float = 0.93, seed: int = 11) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for the rows of vectors (vec_id, embedding) where is_query holds: the
     `top` rows found with the largest inner products, ties to the smaller vec_id; all rows, if there are fewer.
 
@@ -152,10 +152,20 @@ def nearest(vectors: DataFrame, is_query, top: int = 20, orders: int = 4, dims:
         return _best(queries, there, top)
 
     found = asked.groupBy(*[f"q_{c}" for c in by]).cogroup(held.groupBy(*by)).applyInArrow(rerank, "query_rid long, query_id long, found array<struct<score:double, vec_id:bigint, rid:bigint>>")
-    best = found.groupBy("query_rid", "query_id").agg(F.collect_list("found").alias("lists"))  # windows in all orderings: a bounded number
-    rank = lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(F.coalesce(a["vec_id"], F.lit(2**63 - 1)) < F.coalesce(b["vec_id"], F.lit(2**63 - 1)), -1).when(F.coalesce(a["vec_id"], F.lit(2**63 - 1)) > F.coalesce(b["vec_id"], F.lit(2**63 - 1)), 1).otherwise(F.when(a["rid"] < b["rid"], -1).when(a["rid"] > b["rid"], 1).otherwise(0))
-    merged = best.select("query_id", F.slice(F.array_sort(F.array_distinct(F.flatten("lists")), rank), 1, top).alias("found"))
-    return merged.select("query_id", F.posexplode("found").alias("at", "f")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), F.col("f.score").alias("score"))
+    merge = lambda lists: _merged(lists, top)
+    return found.groupBy("query_rid").applyInArrow(merge, "query_id long, rank int, vec_id long, score double")
+
+
+def _merged(lists: pa.Table, top: int) -> pa.Table:
+    """The best of a query's rows found in its windows, `top` at most from each: a row may be in several."""
+    best = lists["found"].combine_chunks().flatten()
+    rid, score = pc.struct_field(best, "rid").to_numpy(), pc.struct_field(best, "score").to_numpy()
+    vec_id = pc.struct_field(best, "vec_id")
+    ids = pc.fill_null(vec_id, 2**63 - 1).to_numpy()
+    _, first = np.unique(rid, return_index=True)
+    order = first[np.lexsort((rid[first], ids[first], -score[first]))][:top]
+    asked = lists["query_id"][0].as_py()
+    return pa.table({"query_id": pa.array([asked] * len(order), pa.int64()), "rank": pa.array(range(1, len(order) + 1), pa.int32()), "vec_id": vec_id.take(pa.array(order)), "score": score[order]})
 
 
 _FOUND = pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64()), ("rid", pa.int64())]))
