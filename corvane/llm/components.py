@@ -1,27 +1,56 @@
-"""Connected components by alternating large-star and small-star steps: joins and aggregates over edges only."""
+"""Connected components: tasks contract their edges to forests, then alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of a task's edges but the roots, with the least node that those edges reach."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (y := up.get(top, top)) != top:
+            top = y
+        while x != top:
+            up[x], x = top, up.get(x, x)
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    for at in range(0, len(nodes), 1 << 16):
+        part = nodes[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["u", "v"])
+
+
+def components(edges: DataFrame, per_task: int = 1 << 19) -> DataFrame:
     """(node, component) for each node of edges (a, b; longs, in any order and number): the component's least node.
 
-    Edges with a null end or equal ends are left out. Each step hangs the neighbours of a node on the least of them;
+    Edges with a null end or equal ends are left out. First each task replaces its edges, about per_task of them, by a
+    forest with the same components. If there was one task, these are the components; else stars follow. Each step hangs the neighbours of a node on the least of them;
     edges stay as many or fewer, and rounds grow with the logarithm of the longest chain. A node with very many edges
     is aggregated partially before the shuffle, and its join is one that Spark can split.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialize(e, "edges")
+    tasks = -(-e.count() // per_task)
+    e = materialize(e.coalesce(max(1, tasks)).mapInArrow(_forest, "u long, v long").where("u <> v"), "forest")
     seen = None
-    while True:
+    while tasks > 1:
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (state["n"], state["h"]) == seen:
-            return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            break
         seen = (state["n"], state["h"])
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -29,3 +58,4 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

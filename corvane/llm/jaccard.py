@@ -7,12 +7,16 @@ cut into P lanes of equal width, in order of the hash, with P >= D + 1: at least
 the XOR of its elements' 64-bit codes, which is linear like the lane itself. D and P hold for a band of sizes; a set
 goes into its own band, and into the next if sets there can be near enough in size.
 
-Lanes with few elements agree by chance or through common passages. P has a surplus of lanes, and a set whose sparse
-lanes are within that surplus leaves them out: lanes that agree are sparse in both, so a full lane remains. Sets with
-more sparse lanes than that also join on these, among themselves. No pair is lost.
+Lanes with few elements agree by chance or through common passages. P = D + e + s; a set with at most e sparse lanes
+leaves them out: lanes that agree are sparse in both sets, so those of a link still share s full lanes. Sets with more
+sparse lanes also join on these, among themselves. And as a link shares s lanes or more, each set leaves out the s - 1
+of its lanes that most sets have (prefix filtering), which empties the buckets of common passages. No link is lost.
 
 Pairs in a lane's bucket are not all emitted. First each member is verified with the bucket's least member only, and
-components are formed; only pairs in a bucket that lie in different components are verified after that.
+components are formed. After that only pairs across components count: in rounds, each member names the members of
+other components whose sketches are nearest, as far as sketches allow a link, and of these a bucket emits those that
+join its components. Pairs found to link merge components; rounds end when no pair is left that might link and has not
+been verified, so none is lost. Pairs whose sketches are too many bits apart are dropped before their sets are fetched.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize, release, scratch_path
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -37,36 +41,40 @@ _SLICE = 1 << 20
 class Bands:
     """Bands of set sizes with their lanes, for a threshold in per cent."""
 
-    def __init__(self, per_cent: int, widest: float = 1.6):
+    def __init__(self, per_cent: int, widest: float = 1.6, largest: int = 1 << 40):
         self.per_cent = per_cent
-        self.widest = widest
         self.lows = [1]
+        while self.lows[-1] <= largest:
+            self.lows.append(max(self.lows[-1] + 1, int(self.lows[-1] * widest)))
 
     def band(self, n: int) -> int:
-        while self.lows[-1] <= n:
-            self.lows.append(max(self.lows[-1] + 1, int(self.lows[-1] * self.widest)))
         return int(np.searchsorted(self.lows, n, side="right")) - 1
 
-    def lanes(self, band: int) -> tuple[int, int, int]:
-        """Lanes, surplus, and the most elements of a sparse lane; no lanes where only equal sets link."""
+    def lanes(self, band: int) -> tuple[int, int, int, int]:
+        """Lanes, sparse lanes allowed, the most elements of a sparse lane, and the least number of full lanes that
+        the sets of a link share; no lanes where only equal sets link."""
         most = self.lows[band + 1] - 1
         d = 2 * most * (100 - self.per_cent) // (100 + self.per_cent)
         if not d:
-            return 0, 0, 0
-        surplus = 3 + -(-d * 8 // 100)
-        return d + 1 + surplus, surplus, 1 if d >= 16 else 0
+            return 0, 0, 0, 0
+        allowed, shared = 3 + -(-d * 6 // 100), 3 + -(-d * 30 // 100)
+        return d + allowed + shared, allowed, 1 if d >= 16 else 0, shared
+
+    def shared(self) -> list[int]:
+        """That least number for each band."""
+        return [self.lanes(b)[3] for b in range(len(self.lows) - 1)]
 
     def of(self, n: int) -> list[int]:
         """The bands that a set of n elements joins in."""
         own = self.band(n)
-        return [own, own + 1] if self.band(self.lows[own + 1]) and 100 * n >= self.per_cent * self.lows[own + 1] else [own]
+        return [own, own + 1] if 100 * n >= self.per_cent * self.lows[own + 1] else [own]
 
 
 def lane_keys(elements: np.ndarray, bands: Bands) -> np.ndarray:
-    """The join keys of a set, given as sorted distinct hashes."""
+    """The join keys of a set, given as sorted distinct hashes. The low byte of a key is its band."""
     out = []
     for band in bands.of(len(elements)):
-        lanes, surplus, sparse = bands.lanes(band)
+        lanes, allowed, sparse, _ = bands.lanes(band)
         if not lanes:
             continue
         lane = ((elements >> _U(32)) * _U(lanes)) >> _U(32)  # ascending, as the elements are
@@ -75,11 +83,11 @@ def lane_keys(elements: np.ndarray, bands: Bands) -> np.ndarray:
         size = np.diff(first, append=len(elements))
         tag = mixed(lane[first] + _U(band << 40))
         full = size > sparse
-        out.append(mixed(code[full] ^ tag[full]))
-        if lanes - int(full.sum()) > surplus:
+        keys = [mixed(code[full] ^ tag[full])]
+        if lanes - int(full.sum()) > allowed:
             empty = np.setdiff1d(np.arange(lanes, dtype=np.uint64), lane[first])
-            out.append(mixed(code[~full] ^ tag[~full] ^ _U(1)))
-            out.append(mixed(mixed(empty + _U(band << 40)) ^ _U(1)))
+            keys += [mixed(code[~full] ^ tag[~full] ^ _U(1)), mixed(mixed(empty + _U(band << 40)) ^ _U(1))]
+        out.append(np.concatenate(keys) & ~_U(255) | _U(band))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -90,6 +98,19 @@ def node_of(elements: np.ndarray) -> int:
     return int(mixed(np.array([np.bitwise_xor.reduce(mixed(elements)) + _U(len(elements))], dtype=np.uint64)).view(np.int64)[0])
 
 
+def parity_bits(elements: np.ndarray) -> bytes:
+    """The sketch of a set in at least two bits an element, a power of two of them."""
+    width = max(64, 1 << (2 * len(elements) - 1).bit_length())
+    flips = np.bincount((elements & _U(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def bits_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """The Hamming distance of two sketches; the longer folds to the shorter's width."""
+    width = min(len(x), len(y))
+    return int(np.bitwise_count(_folded(x, width) ^ _folded(y, width)).sum())
+
+
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[object, np.ndarray]]:
     """doc_id and set of each row, some texts at a time."""
     ids, texts, size = [], [], 0
@@ -105,8 +126,9 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[object, np.ndarray]]:
 
 
 def sketches(docs: DataFrame, k: int, per_cent: int, remembered: int = 1 << 16) -> DataFrame:
-    """doc_id, n (the set's size), node and keys of each row. Of equal sets in a task, the first has keys, as far as
-    the last `remembered` sets go; keys of equal sets are equal, so repeating them costs time only."""
+    """doc_id, n (the set's size), node, keys and bits (the sketch) of each row. Of equal sets in a task, the first has
+    keys and bits, as far as the last `remembered` sets go; those of equal sets are equal, so repeating them costs time
+    only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(per_cent), OrderedDict()
@@ -114,32 +136,126 @@ def sketches(docs: DataFrame, k: int, per_cent: int, remembered: int = 1 << 16)
         for batch in batches:
             for doc_id, elements in _sets(batch, k):
                 node = node_of(elements)
-                keys = None
+                keys = bits = None
                 if len(elements) and node not in seen:
-                    keys = lane_keys(elements, bands).view(np.int64)
+                    keys, bits = lane_keys(elements, bands).view(np.int64), parity_bits(elements)
                     seen[node] = True
                     if len(seen) > remembered:
                         seen.popitem(last=False)
-                rows.append((doc_id, len(elements), node, keys))
+                rows.append((doc_id, len(elements), node, keys, bits))
                 if len(rows) >= 512:
                     yield _sketch_batch(rows)
                     rows = []
         if rows:
             yield _sketch_batch(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, keys array<bigint>, bits binary")
 
 
 def _sketch_batch(rows: list[tuple]) -> pa.RecordBatch:
-    doc_ids, sizes, nodes, keys = zip(*rows, strict=True)
+    doc_ids, sizes, nodes, keys, bits = zip(*rows, strict=True)
     offsets = np.concatenate(([0], np.cumsum([0 if x is None else len(x) for x in keys]))).astype(np.int32)
     values = np.concatenate([np.empty(0, np.int64), *(x for x in keys if x is not None)])
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], names=["doc_id", "n", "node", "keys"])
+    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists, pa.array(bits, pa.binary())], names=["doc_id", "n", "node", "keys", "bits"])
+
+
+def possible(pairs: DataFrame, sketched: DataFrame, per_cent: int) -> DataFrame:
+    """Of pairs (a, b), those that may link by size and by the distance of their sketches (node, n, bits)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, n, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                near = 100 * min(m, n) >= per_cent * max(m, n)
+                keep.append(near and bits_apart(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= (m + n) * (100 - per_cent) // (100 + per_cent))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = sketched.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x"))
+    right = sketched.select(F.col("node").alias("b"), "n", F.col("bits").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def across_components(rows: DataFrame, sketched: DataFrame, tried: DataFrame, per_cent: int, each: int = 1, block: int = 2048) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that share a key and may link by size and sketch, and are not in
+    tried (node, tried: nodes): of each node at most `each`, the nearest by sketch; with `each` of 1, only as many as
+    join the components of a bucket. A key comes out, in a row of its own, if its bucket has such a pair. rows: key,
+    node, component; sketched: node, n, bits. Buckets stream through tasks; those of more than `block` rows are dealt
+    into blocks, and each pair of blocks is a bucket of its own. Sketches are shuffled once, to the buckets."""
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    dealt = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tiles = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "component")
+    tiles = tiles.join(sketched, "node").join(tried, "node", "left").select("key", "lo", "hi", "node", "component", "n", "bits", "tried")
+
+    def pairs_of(group: list[list]) -> set[tuple[int, int]]:
+        nodes, parts, sizes = (np.array([g[i] for g in group], dtype=np.int64) for i in (0, 1, 2))
+        kinds, part_of, counts = np.unique(parts, return_inverse=True, return_counts=True)
+        if len(kinds) < 2:
+            return set()
+        found = [np.frombuffer(g[3], np.uint8) for g in group]
+        width = min(map(len, found))
+        sketches = np.stack([_folded(x, width) for x in found]).view(np.uint64)
+        near: list[tuple[int, int, int]] = []
+        for i in np.flatnonzero(part_of != counts.argmax()):
+            j = np.flatnonzero((part_of != part_of[i]) & (100 * np.minimum(sizes, sizes[i]) >= per_cent * np.maximum(sizes, sizes[i])))
+            if group[i][4]:
+                j = j[~np.isin(nodes[j], group[i][4])]
+            apart = np.bitwise_count(sketches[j] ^ sketches[i]).sum(axis=1)
+            fits = apart <= (sizes[j] + sizes[i]) * (100 - per_cent) // (100 + per_cent)
+            j, apart = j[fits], apart[fits]
+            best = np.argsort(apart, kind="stable")[:each]
+            near += [(int(d), int(i), int(x)) for d, x in zip(apart[best], j[best], strict=True)]
+        out, up = set(), list(range(len(kinds)))
+        for _, i, j in sorted(near):
+            x, y = part_of[i], part_of[j]
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            if x != y or each > 1:
+                up[x] = y
+                out.add((min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j]))))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group, keys, pairs = None, [], set(), set()
+
+        def close() -> None:
+            if len(group) > 1 and (got := pairs_of(group)):
+                keys.add(now[0])
+                pairs.update(got)
+
+        for batch in batches:
+            for key, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, lo, hi) != now:
+                    close()
+                    now, group = (key, lo, hi), []
+                group.append(row)
+            if len(pairs) > 1 << 14:
+                yield _found_batch(keys, pairs)
+                keys, pairs = set(), set()
+        close()
+        yield _found_batch(keys, pairs)
+
+    ordered = tiles.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return ordered.mapInArrow(run, "key long, a long, b long")
+
+
+def _found_batch(keys: set[int], pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    rows = [(k, None, None) for k in keys] + [(None, *p) for p in pairs]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["key", "a", "b"])
+
+
+def _folded(x: np.ndarray, width: int) -> np.ndarray:
+    """A sketch of so many bytes, from one as long or longer."""
+    while len(x) > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
 
 
-def fetched_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node and elements (little-endian 64-bit, ascending) of the nodes in wanted (node, doc_id), from the texts."""
+def fetched_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, known: DataFrame | None = None) -> DataFrame:
+    """node and elements (little-endian 64-bit, ascending) of the nodes in pairs (a, b), from the texts; those in
+    known are taken from there. nodes: doc_id and node of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,9 +269,16 @@ def fetched_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(elements, pa.binary())], names=["node", "elements"])
 
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    if known is not None:
+        ends = ends.join(known, "node", "left_anti")
+    wanted = materialize(nodes.join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
+    if known is not None and wanted.isEmpty():
+        return known
     ids = wanted.select(F.col("doc_id").alias("_wanted")).distinct()
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
-    return texts.mapInArrow(run, "node long, elements binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    got = materialize(texts.mapInArrow(run, "node long, elements binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return got if known is None else known.unionByName(got)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -186,42 +309,69 @@ def _forget(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def linked_nodes(docs: DataFrame, members: DataFrame, nodes: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """(node, component) of the nodes that link. members (key, node): buckets with more nodes than one."""
+def linked_nodes(docs: DataFrame, members: DataFrame, sketched: DataFrame, nodes: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """(node, component) of the nodes that link. members (key, node): buckets with more nodes than one; sketched
+    (node, n, bits): their sketches."""
     spark = docs.sparkSession
-    least = Window.partitionBy("key")
-    stars = members.withColumn("leader", F.min("node").over(least)).where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("shared"))
-    stars = materialize(stars, "stars")
-    involved = members.select("node").distinct()
-    wanted = materialize(nodes.join(involved, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
-    sets = materialize(fetched_sets(docs, wanted, k), "sets")
+    led = members.withColumn("b", F.min("node").over(Window.partitionBy("key"))).where("node <> b")
+    near = materialize(possible(led.select(F.col("node").alias("a"), "b").distinct(), sketched, per_cent), "stars")
+    sets = fetched_sets(docs, nodes, near, k)
     _forget(spark)
-    # First the leader with whom a node shares most, then leaders in other components, then all pairs across components.
-    best = stars.groupBy("node").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader"))
-    links = materialize(verified(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), sets, per_cent), "links")
-    done = materialize(components(links), "components")
-    of = lambda c: done.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
-    own = lambda c: F.coalesce(f"{c}_component", c)
-    rest = stars.join(best.withColumn("tried", F.lit(True)), ["node", "leader"], "left_anti").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    rest = materialize(rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(own("a") != own("b")).select("a", "b"), "stars-left")
-    if not rest.isEmpty():
-        links = materialize(links.unionByName(verified(rest, sets, per_cent)), "links")
+    links = materialize(verified(near, sets, per_cent), "links")
+    tried = near.select("a", "b")
+    done, each = materialize(components(links), "components"), 1
+    open_rows = led.select("key", "node")  # pairs with the least member are tried
+    while True:
         _forget(spark)
-        done = materialize(components(links), "components")
-    placed = members.dropDuplicates(["key", "node"]).withColumnRenamed("node", "a").join(of("a"), "a", "left").select("key", "a", own("a").alias("component"), F.min("a").over(least).alias("leader"))
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
-    open_rows = materialize(placed.join(mixed_keys, "key", "left_semi").where("a <> leader"), "open")
-    if open_rows.isEmpty():
-        return done
-    other = open_rows.select("key", F.col("a").alias("b"), F.col("component").alias("b_component"))
-    across = open_rows.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("b_component"))).select("a", "b").distinct()
-    sizes = nodes.groupBy("node").agg(F.max("n").alias("n"))
-    size = lambda c: sizes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"))
-    across = across.join(size("a"), "a").join(size("b"), "b").where(100 * F.least("a_n", "b_n") >= per_cent * F.greatest("a_n", "b_n")).select("a", "b")
-    tried = stars.select(F.greatest("node", "leader").alias("b"), F.least("node", "leader").alias("a"))
-    links = materialize(links.unionByName(verified(across.join(tried, ["a", "b"], "left_anti"), sets, per_cent)), "links")
+        placed = open_rows.join(done, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        both = tried.unionByName(tried.select(F.col("a").alias("b"), F.col("b").alias("a")))
+        both = both.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tried"))  # few: `each` a round and bucket
+        found = materialize(across_components(placed.join(several, "key", "left_semi"), sketched, both, per_cent, each), "across")
+        pairs = materialize(found.where("a is not null").select("a", "b").distinct(), "pairs")
+        if pairs.isEmpty():
+            return done
+        sets = fetched_sets(docs, nodes, pairs, k, sets)
+        more = materialize(verified(pairs, sets, per_cent), "links")
+        tried = tried.unionByName(pairs)
+        each *= 4
+        # A bucket without such a pair will have none later: components only merge, and pairs tried only grow.
+        open_rows = materialize(open_rows.join(found.where("key is not null").select("key").distinct(), "key", "left_semi"), "open")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            done = materialize(components(links), "components")
+
+
+def _buckets(rows: DataFrame, shared: list[int]) -> DataFrame:
+    """The distinct rows (key, node) of keys that several nodes have, without each node's shared - 1 commonest keys
+    of each band."""
+    key = Window.partitionBy("key")
+    several = lambda df: df.withColumn("lo", F.min("node").over(key)).withColumn("hi", F.max("node").over(key)).where("lo <> hi")
+    common = several(rows.withColumn("rows", F.count("*").over(key))).groupBy("key", "node").agg(F.max("rows").alias("rows"))
+    band = F.col("key").bitwiseAND(F.lit(255)).cast("int")
+    ranked = common.withColumn("band", band).withColumn("rank", F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("rows"), "key")))
+    return several(ranked.where(F.col("rank") >= F.element_at(F.lit(shared), F.col("band") + 1)).select("key", "node")).select("key", "node")
+
+
+def _joined(docs: DataFrame, k: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """nodes (doc_id, n, node) of all rows, and (node, component_id) of those with elements."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "sketches")
+    sketches(docs, k, per_cent).write.parquet(path)
+    drawn = spark.read.parquet(path)
+    nodes = materialize(drawn.select("doc_id", "n", "node"), "nodes")
+    rows = drawn.where("keys is not null").select(F.explode("keys").alias("key"), "node")
+    members = materialize(_buckets(rows, Bands(per_cent).shared()), "members")
+    there = members.select("node").distinct()
+    sketched = materialize(drawn.where("keys is not null").select("node", "n", "bits").join(there, "node", "left_semi").dropDuplicates(["node"]), "bits")
+    release(spark, path)
+    del drawn, rows
     _forget(spark)
-    return materialize(components(links), "components")
+    linked = linked_nodes(docs, members, sketched, nodes, k, per_cent)
+    classes = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    classes = materialize(classes.join(linked, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component")), "classes")
+    firsts = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    return nodes, materialize(classes.join(firsts, "component").select("node", "component", "component_id"), "labels")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
@@ -232,22 +382,35 @@ def jaccard_components(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataF
     100 * intersection >= per_cent * union. component_id: the least doc_id that links reach, itself included; a null
     doc_id counts only where there is no other. Repeated rows come out once each. Other columns play no part.
     """
-    spark = docs.sparkSession
-    drawn = materialize(sketches(docs, k, per_cent), "sketches")
-    nodes = materialize(drawn.select("doc_id", "n", "node"), "nodes")
-    rows = drawn.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-    key = Window.partitionBy("key")
-    members = rows.withColumn("lo", F.min("node").over(key)).withColumn("hi", F.max("node").over(key)).where("lo <> hi").select("key", "node")
-    members = materialize(members, "members")
-    _forget(spark)
-    return named(nodes, linked_nodes(docs, members, nodes, k, per_cent))
-
-
-def named(nodes: DataFrame, linked: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id from nodes and the components that link them."""
-    classes = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    classes = classes.join(linked, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
-    firsts = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    labels = materialize(classes.join(firsts, "component").select("node", "component_id"), "labels")
+    nodes, labels = _joined(docs, k, per_cent)
     filled = nodes.where("n > 0").join(labels, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return filled.unionByName(nodes.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
+    """The rows of docs without near duplicates: of each component, one row with its least doc_id; all rows without
+    words. A row with a null doc_id stays only where its component has no other. All columns are kept."""
+    nodes, labels = _joined(docs, k, per_cent)
+    placed = nodes.where("n > 0").join(labels, "node")
+    kept = materialize(placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component", "doc_id").agg(F.min("node").alias("node")).select("doc_id", "node"), "kept")
+    # Rows whose doc_id no other row has are told by it; the others, by doc_id and set.
+    the_id, the_n, the_node, other_node = (fresh(docs, c) for c in ("_id", "_n", "_node", "_kept"))
+    repeated = materialize(nodes.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 or doc_id is null").select(F.col("doc_id").alias(the_id)), "repeated")
+    dropped = placed.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(the_id)).unionByName(repeated).distinct()
+    same_id = F.col("doc_id").eqNullSafe(F.col(the_id))
+    once = docs.join(materialize(dropped, "dropped"), same_id, "left_anti")
+    if repeated.isEmpty():
+        return once
+    again = docs.join(repeated, same_id, "left_semi")
+    columns = again.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = [columns.index("doc_id"), columns.index("text")]
+        for batch in batches:
+            found = [(len(e), node_of(e)) for _, e in _sets(batch.select(at), k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=[*batch.schema.names, the_n, the_node])
+
+    known = again.mapInArrow(run, again.select("*", F.lit(0).cast("long").alias(the_n), F.lit(0).cast("long").alias(the_node)).schema)
+    stay = kept.select(F.col("doc_id").alias(the_id), F.col("node").alias(other_node))
+    chosen = known.where(F.col(the_n) > 0).join(stay, same_id & (F.col(the_node) == F.col(other_node)), "left_semi").dropDuplicates(["doc_id", the_node])
+    return once.unionByName(chosen.unionByName(known.where(F.col(the_n) == 0)).select(*[F.col(c) for c in columns]))
