@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 from .shingles import mixed, word_hashes
 
 _U = np.uint64
@@ -161,10 +161,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500, seed: int =
     return fit(bounds, numbers, values, graded(bounds, numbers, values, toxic), shares)
 
 
-def score(docs: DataFrame, model: Ordinal, text_col: str = "text", prefix: str = "") -> DataFrame:
+def score(docs: DataFrame, model: Ordinal, text_col: str = "text", added: tuple[str, str, str] = ("severity", "grade", "toxic")) -> DataFrame:
     """docs with severity (the expected grade), grade (the largest k with P(y >= k) of a half or more) and toxic
-    (grade 1 or more), under these names after prefix. A null text is empty; an empty one has no features."""
-    added = [f"{prefix}severity", f"{prefix}grade", f"{prefix}toxic"]
+    (grade 1 or more), under the names in added. A null text is empty; an empty one has no features."""
     schema = docs.select("*", F.lit(0.0).alias(added[0]), F.lit(0).alias(added[1]), F.lit(True).alias(added[2])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +177,13 @@ def score(docs: DataFrame, model: Ordinal, text_col: str = "text", prefix: str =
     return docs.mapInArrow(run, schema)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are not toxic, with their columns."""
+    severity, grade, toxic = (fresh(docs, c) for c in ("_severity", "_grade", "_toxic"))
+    scored = score(docs, learn(docs, labels), added=(severity, grade, toxic))
+    return scored.where(~F.col(toxic)).select(*[F.col(c) for c in docs.columns])
+
+
 def severities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, severity, grade, toxic of each row of docs, by a model fitted on the labels. Rows with a null or
     repeated doc_id come out once each. Other columns play no part. Empty input: no rows."""
