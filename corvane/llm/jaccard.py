@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, release, scratch_path
+from .common import fresh, materialize
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -125,39 +125,68 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[object, np.ndarray]]:
         yield from zip(ids, shingle_sets(texts, k), strict=True)
 
 
-def sketches(docs: DataFrame, k: int, per_cent: int, remembered: int = 1 << 16) -> DataFrame:
-    """doc_id, n (the set's size), node, keys and bits (the sketch) of each row. Of equal sets in a task, the first has
-    keys and bits, as far as the last `remembered` sets go; those of equal sets are equal, so repeating them costs time
-    only."""
+class _Seen:
+    """The last sets that a task met, up to so many; equal sets have equal sketches and keys, so that meeting one
+    again after it is forgotten costs time only."""
+
+    def __init__(self, most: int = 1 << 16):
+        self.nodes: OrderedDict[int, bool] = OrderedDict()
+        self.most = most
+
+    def first(self, node: int) -> bool:
+        if node in self.nodes:
+            return False
+        self.nodes[node] = True
+        if len(self.nodes) > self.most:
+            self.nodes.popitem(last=False)
+        return True
+
+
+def sketches(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n (the set's size), node and bits (the sketch) of each row; of equal sets in a task, the first has bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(per_cent), OrderedDict()
-        rows: list[tuple] = []
+        seen = _Seen()
         for batch in batches:
+            rows = []
             for doc_id, elements in _sets(batch, k):
                 node = node_of(elements)
-                keys = bits = None
-                if len(elements) and node not in seen:
-                    keys, bits = lane_keys(elements, bands).view(np.int64), parity_bits(elements)
-                    seen[node] = True
-                    if len(seen) > remembered:
-                        seen.popitem(last=False)
-                rows.append((doc_id, len(elements), node, keys, bits))
-                if len(rows) >= 512:
-                    yield _sketch_batch(rows)
-                    rows = []
-        if rows:
-            yield _sketch_batch(rows)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, keys array<bigint>, bits binary")
-
-
-def _sketch_batch(rows: list[tuple]) -> pa.RecordBatch:
-    doc_ids, sizes, nodes, keys, bits = zip(*rows, strict=True)
-    offsets = np.concatenate(([0], np.cumsum([0 if x is None else len(x) for x in keys]))).astype(np.int32)
-    values = np.concatenate([np.empty(0, np.int64), *(x for x in keys if x is not None)])
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists, pa.array(bits, pa.binary())], names=["doc_id", "n", "node", "keys", "bits"])
+                rows.append((doc_id, len(elements), node, parity_bits(elements) if len(elements) and seen.first(node) else None))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n", "node", "bits"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, bits binary")
+
+
+def keyed(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """The rows (key, node) of all sets; those of equal sets in a task once. Keys are many and used once, so they are
+    made while they are shuffled and never written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen = Bands(per_cent), _Seen()
+        keys: list[np.ndarray] = []
+        nodes: list[int] = []
+        size = 0
+        for batch in batches:
+            for _, elements in _sets(batch, k):
+                node = node_of(elements)
+                if len(elements) and seen.first(node):
+                    keys.append(lane_keys(elements, bands))
+                    nodes.append(node)
+                    size += len(keys[-1])
+                if size >= 1 << 16:
+                    yield _key_batch(keys, nodes)
+                    keys, nodes, size = [], [], 0
+        if keys:
+            yield _key_batch(keys, nodes)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, node long")
+
+
+def _key_batch(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+    owners = np.repeat(np.array(nodes, dtype=np.int64), [len(x) for x in keys])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owners)], names=["key", "node"])
 
 
 def possible(pairs: DataFrame, sketched: DataFrame, per_cent: int) -> DataFrame:
@@ -356,16 +385,11 @@ def _buckets(rows: DataFrame, shared: list[int]) -> DataFrame:
 def _joined(docs: DataFrame, k: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
     """nodes (doc_id, n, node) of all rows, and (node, component_id) of those with elements."""
     spark = docs.sparkSession
-    path = scratch_path(spark, "sketches")
-    sketches(docs, k, per_cent).write.parquet(path)
-    drawn = spark.read.parquet(path)
-    nodes = materialize(drawn.select("doc_id", "n", "node"), "nodes")
-    rows = drawn.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-    members = materialize(_buckets(rows, Bands(per_cent).shared()), "members")
+    drawn = materialize(sketches(docs, k), "sketches")
+    nodes = drawn.select("doc_id", "n", "node")
+    members = materialize(_buckets(keyed(docs, k, per_cent), Bands(per_cent).shared()), "members")
     there = members.select("node").distinct()
-    sketched = materialize(drawn.where("keys is not null").select("node", "n", "bits").join(there, "node", "left_semi").dropDuplicates(["node"]), "bits")
-    release(spark, path)
-    del drawn, rows
+    sketched = materialize(drawn.where("bits is not null").select("node", "n", "bits").join(there, "node", "left_semi").dropDuplicates(["node"]), "bits")
     _forget(spark)
     linked = linked_nodes(docs, members, sketched, nodes, k, per_cent)
     classes = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
