@@ -13,7 +13,8 @@ import math
 import random
 import re
 import string
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,22 @@ _HINTS = (b"password", b"passwd", b"secret", b"token", b"api")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
 _SLICE = 1 << 20
 
+#: The log-probability of what a state has not seen; what stands for letters and digits, and how many each is.
+UNSEEN = math.log(1e-4)
+_KINDS = str.maketrans(string.digits + string.ascii_uppercase + string.ascii_lowercase, "9" * 10 + "A" * 26 + "a" * 26)
+_MANY = {"9": math.log(10), "A": math.log(26), "a": math.log(26)}
+
 Automaton = list[tuple[float, dict[str, tuple[int, float]]]]  # per state: the log-probabilities to end, and of each symbol
 
 
 def symbols(token: str) -> list[str]:
     """The first four characters as they are, as formats are told by their fronts; then classes of characters."""
-    kind = lambda c: "9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c
-    return [*(f"={c}" for c in token[:4]), *(kind(c) for c in token[4:])]
+    return [*(f"={c}" for c in token[:4]), *token[4:].translate(_KINDS)]
+
+
+def classes(token: str) -> list[str]:
+    """Classes of characters only: any front is ordinary."""
+    return list(token.translate(_KINDS))
 
 
 class Inference:
@@ -115,12 +125,14 @@ class Inference:
         return [{x: number[j] for x, j in self.next[k].items() if j in number} for k in kept]
 
 
-def learnt(samples: list[str], alpha: float = 0.05) -> Automaton:
-    """A probabilistic automaton of the samples."""
-    coded = [symbols(s) for s in samples]
+def learnt(samples: list[str], alpha: float = 0.05, code: Callable[[str], list[str]] = symbols) -> Automaton:
+    """A probabilistic automaton of the samples. A class that a state lacks, but others have, costs UNSEEN and leads
+    where it mostly leads; states of fronts lack classes, and where all is classes no state does."""
+    coded = [code(s) for s in samples]
     merged = Inference(coded, alpha).automaton()
     # Merging moves counts about; the transition probabilities are set from the samples' own paths.
     ends, goes = [0.0] * len(merged), [dict.fromkeys(moves, 0.0) for moves in merged]
+    leads: dict[str, Counter[int]] = {}
     for sample in coded:
         at = 0
         for x in sample:
@@ -128,16 +140,20 @@ def learnt(samples: list[str], alpha: float = 0.05) -> Automaton:
                 break
             goes[at][x] += 1
             at = merged[at][x]
+            if len(x) == 1:
+                leads.setdefault(x, Counter())[at] += 1
         else:
             ends[at] += 1
     out: Automaton = []
     for state, moves in enumerate(merged):
         total = ends[state] + sum(goes[state].values()) + 1
-        out.append((math.log((ends[state] + 1e-3) / total), {x: (to, math.log((goes[state][x] + 1e-3) / total)) for x, to in moves.items()}))
+        seen = {x: (to, math.log((goes[state][x] + 1e-3) / total)) for x, to in moves.items()}
+        lacked = {x: (to.most_common(1)[0][0], UNSEEN) for x, to in leads.items()} if code is classes or any(len(x) == 1 for x in moves) else {}
+        out.append((math.log((ends[state] + 1e-3) / total), lacked | seen))
     return out
 
 
-def likelihood(automaton: Automaton, coded: list[str], unseen: float = math.log(1e-4)) -> float:
+def likelihood(automaton: Automaton, coded: list[str], unseen: float = UNSEEN) -> float:
     """The log-probability of a symbol string; a symbol that a state lacks costs `unseen` and leaves the state."""
     at, total = 0, 0.0
     for x in coded:
@@ -197,14 +213,16 @@ class Scanner:
     """Finds spans (kind, start, end) in texts; positions in code points, ends exclusive."""
 
     def __init__(self, margin: float = 6.0):
-        self.credential, self.ordinary, self.margin = learnt(labelled_credentials()), learnt(ordinary_tokens()), margin
+        self.credential, self.ordinary, self.margin = learnt(labelled_credentials(120)), learnt(ordinary_tokens(2000), code=classes), margin
 
     def is_credential(self, token: str) -> bool:
         """Whether the log-likelihood ratio of the two automata is above the margin."""
-        if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
-            return False
-        coded = symbols(token)
-        return likelihood(self.credential, coded) - likelihood(self.ordinary, coded) > self.margin
+        return self.ratio(token) > self.margin
+
+    def ratio(self, token: str) -> float:
+        """The log-likelihood ratio. In ordinary tokens all characters of a class are as likely."""
+        front = sum(_MANY.get(kind, 0.0) for kind in classes(token[:4]))
+        return likelihood(self.credential, symbols(token)) - likelihood(self.ordinary, classes(token)) + front
 
     def base(self, text: str, assign: bool = True, access: bool = True, hexa: bool = True) -> list[tuple[str, int, int]]:
         out = []

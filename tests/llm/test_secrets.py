@@ -51,6 +51,16 @@ def test_held_out():
     assert sum(map(scanner.is_credential, others)) <= 0.02 * len(others)
 
 
+def test_digit_free_tokens_are_scored():
+    """Whether a token has digits is for the automata to weigh."""
+    scanner = secrets.Scanner()
+    free = [t for t in secrets.labelled_credentials(1500, seed=79) if not any(c.isdigit() for c in t)]
+    assert {t[:4] for t in free} >= {"ASIA", "glpa", "sk_l"} and len(free) > 80
+    assert sum(map(scanner.is_credential, free)) >= 0.99 * len(free)
+    others = [t for t in secrets.ordinary_tokens(6000, seed=80) if not any(c.isdigit() for c in t)]
+    assert sum(map(scanner.is_credential, others)) <= 0.005 * len(others)
+
+
 def test_merging_makes_loops():
     """Strings of a fixed front and a free rest give an automaton smaller than the samples, which takes new ones."""
     samples = [f"key-{i * 7919 % 10**12:012d}" for i in range(400)]
