@@ -3,7 +3,8 @@
 Credentials labelled with their format, and ordinary long tokens, each make a prefix tree; merging states whose
 outcomes are statistically compatible (Hoeffding bounds) gives a probabilistic automaton of each. Every candidate
 token is scored by the log-likelihood ratio of the two automata. The spans of the fixed patterns stay; a token that
-scores high and touches none of them is added as `format`.
+scores high and touches none of them is added as `format`. Tokens are what the fixed patterns leave of a run of token
+characters: all its pieces from the start of a word to the end of a word, and all of it.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 _HINTS = (b"password", b"passwd", b"secret", b"token", b"api")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
+SHORTEST = 20
+_WORD = re.compile(r"[A-Za-z0-9]+")
+_JOINED = re.compile(r"[A-Za-z0-9_-]*")
 _SLICE = 1 << 20
 
 #: The log-probability of what a state has not seen; what stands for letters and digits, and how many each is.
@@ -209,20 +213,101 @@ def ordinary_tokens(n: int = 900, seed: int = 4) -> list[str]:
     return [t for t in tokens if len(t) >= 20]
 
 
+class Ratio:
+    """Both automata run side by side: a node is a pair of states, a move changes the log-likelihood ratio. A node's
+    moves are made when they are first gone."""
+
+    def __init__(self, credential: Automaton, ordinary: Automaton):
+        self.credential, self.ordinary = credential, ordinary
+        self.pairs, self.number = [(0, 0)], {(0, 0): 0}
+        self.moves: list[dict[str, tuple[int, float]]] = [{}]
+        self.ending = [credential[0][0] - ordinary[0][0]]
+
+    def move(self, node: int, x: str) -> tuple[int, float]:
+        """The next node, and what it adds. In ordinary tokens all characters of a class are as likely."""
+        found = self.moves[node].get(x)
+        if found is None:
+            c, o = self.pairs[node]
+            kind = x[-1].translate(_KINDS)
+            c, up = self.credential[c][1].get(x, (c, UNSEEN))
+            o, down = self.ordinary[o][1].get(kind, (o, UNSEEN))
+            pair = c, o
+            if pair not in self.number:
+                self.number[pair] = len(self.pairs)
+                self.pairs.append(pair)
+                self.moves.append({})
+                self.ending.append(self.credential[c][0] - self.ordinary[o][0])
+            found = self.moves[node][x] = self.number[pair], up - down + (_MANY.get(kind, 0.0) if len(x) == 2 else 0.0)
+        return found
+
+    def along(self, coded: list[str]) -> tuple[int, float]:
+        node, total = 0, 0.0
+        for x in coded:
+            node, more = self.move(node, x)
+            total += more
+        return node, total
+
+    def of(self, token: str) -> float:
+        node, total = self.along(symbols(token))
+        return total + self.ending[node]
+
+    def known(self, front: str) -> bool:
+        """Whether the first characters are likelier in a credential than at random."""
+        at, total = 0, 0.0
+        for c in front:
+            at, more = self.credential[at][1].get(f"={c}", (at, UNSEEN))
+            total += more
+        return total > -len(front) * math.log(64)
+
+    def pieces(self, text: str, start: int, end: int, margin: float) -> list[tuple[int, int]]:
+        """The pieces of text[start:end], apart from each other, whose ratios exceed the margin by the most in sum. A
+        piece has a known front, and reaches from the start of a word to the end of a word. Pieces that meet in a node
+        go on alike, so only the best of them does, and the time is in proportion to the length."""
+        words = [m.span() for m in _WORD.finditer(text, start, end)]
+        enter = {s + SHORTEST: s for s, _ in words if s + SHORTEST <= end and self.known(text[s : s + 4])}
+        if not enter:
+            return []
+        first, ends, starts = min(enter) - SHORTEST, {e for _, e in words}, set(enter.values())
+        kinds = text[first:end].translate(_KINDS)
+        best: tuple[float, tuple | None] = 0.0, None  # the sum so far; the last piece (start, end, those before)
+        before: dict[int, tuple[float, tuple | None]] = {}
+        active: dict[int, tuple[float, int]] = {}
+        for at in range(first, end + 1):
+            if active:
+                x, gone = kinds[at - 1 - first], {}
+                for node, (total, since) in active.items():
+                    node, more = self.moves[node].get(x) or self.move(node, x)
+                    if node not in gone or total + more > gone[node][0]:
+                        gone[node] = total + more, since
+                active = gone
+            if at in enter:
+                since = enter[at]
+                node, total = self.along(symbols(text[since:at]))
+                total += before[since][0] - margin
+                if node not in active or total > active[node][0]:
+                    active[node] = total, since
+            if at in ends:
+                for node, (total, since) in active.items():
+                    if total + self.ending[node] > best[0]:
+                        best = total + self.ending[node], (since, at, before[since][1])
+            if at in starts:
+                before[at] = best
+        out, last = [], best[1]
+        while last:
+            out.append((last[0], last[1]))
+            last = last[2]
+        return out[::-1]
+
+
 class Scanner:
     """Finds spans (kind, start, end) in texts; positions in code points, ends exclusive."""
 
     def __init__(self, margin: float = 6.0):
-        self.credential, self.ordinary, self.margin = learnt(labelled_credentials(120)), learnt(ordinary_tokens(2000), code=classes), margin
+        self.ratio, self.margin = Ratio(learnt(labelled_credentials(120)), learnt(ordinary_tokens(2000), code=classes)), margin
 
     def is_credential(self, token: str) -> bool:
         """Whether the log-likelihood ratio of the two automata is above the margin."""
-        return self.ratio(token) > self.margin
-
-    def ratio(self, token: str) -> float:
-        """The log-likelihood ratio. In ordinary tokens all characters of a class are as likely."""
-        front = sum(_MANY.get(kind, 0.0) for kind in classes(token[:4]))
-        return likelihood(self.credential, symbols(token)) - likelihood(self.ordinary, classes(token)) + front
+        return self.ratio.of(token) > self.margin
 
     def base(self, text: str, assign: bool = True, access: bool = True, hexa: bool = True) -> list[tuple[str, int, int]]:
         out = []
@@ -235,13 +320,35 @@ class Scanner:
         return sorted(out, key=_order)
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        out = []
+        out, later, upto = [], 0, 0
+        taken = sorted((s, e) for _, s, e in base)
         for m in CANDIDATE.finditer(text):
-            token = m[0].rstrip(".-=_/+") if not m[0].endswith("==") else m[0]
-            lead = len(token) - len(token.lstrip(".-=_/+"))
-            start, end = m.start() + lead, m.start() + len(token)
-            if end - start >= 20 and not any(s < end and start < e for _, s, e in base) and self.is_credential(text[start:end]):
-                out.append(("format", start, end))
+            upto = max(upto, m.start())
+            while later < len(taken) and taken[later][0] < m.end():
+                s, e = taken[later]
+                if s > upto:
+                    out += self.tokens(text, upto, s)
+                upto, later = max(upto, e), later + 1
+            if upto < m.end():
+                out += self.tokens(text, upto, m.end())
+        return out
+
+    def tokens(self, text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+        """The credentials in a run of token characters: all of it, if it scores high and no piece tells a later start;
+        or else pieces of it."""
+        token = text[start:end]
+        token = token.rstrip(".-=_/+") if not token.endswith("==") else token
+        start, end = start + len(token) - len(token.lstrip(".-=_/+")), start + len(token)
+        if end - start < SHORTEST:
+            return []
+        pieces = self.ratio.pieces(text, start, end, self.margin)
+        if (not pieces or pieces[0][0] == start) and self.is_credential(text[start:end]):
+            pieces = [(start, end)]
+        out = []
+        for (s, e), limit in zip(pieces, [*(s for s, _ in pieces[1:]), end], strict=False):
+            # Formats have - and _ inside: what they join to the piece is its own, if it still scores high.
+            joined = e + len(_JOINED.match(text, e, limit)[0].rstrip("-_"))
+            out.append(("format", s, joined if self.is_credential(text[s:joined]) else e))
         return out
 
 
@@ -273,7 +380,7 @@ def spans_of(texts: list[bytes], scanner: Scanner) -> Iterator[tuple[list[tuple[
     """Base and added spans of each text. What can't be in a text isn't looked for there."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     ends = np.cumsum([len(t) for t in texts])
-    hexa, long = _with_runs(data, ends, _HEX, LEAST["hex"]), _with_runs(data, ends, _TOKEN, 20)
+    hexa, long = _with_runs(data, ends, _HEX, LEAST["hex"]), _with_runs(data, ends, _TOKEN, SHORTEST)
     for i, raw in enumerate(texts):
         low = raw.lower()
         assign, access = any(h in low for h in _HINTS), b"AKIA" in raw

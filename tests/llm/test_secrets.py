@@ -1,7 +1,10 @@
 """Base spans against the patterns themselves, added spans on held-out credentials."""
 
 import hashlib
+import math
+import random
 import re
+import string
 
 from corvane.llm import secrets
 
@@ -61,6 +64,57 @@ def test_digit_free_tokens_are_scored():
     assert sum(map(scanner.is_credential, others)) <= 0.005 * len(others)
 
 
+def test_glued_credentials():
+    """Names, paths and base spans beside a credential hide it no more."""
+    scanner = secrets.Scanner()
+    credentials = [c for c in secrets.labelled_credentials(12, seed=81) if not scanner.base(c)]
+    ways = ["GITHUB_PAT={}", "STRIPE_KEY={}", "key={}", "a/b/{}", "export/of.the/{}/and/more/of/a/path/to.json", "see-{}", "id=0123456789abcdef/{}", "{}/0123456789abcdef0123456789abcdef", "x=1/ghp_short/y={}", "some_name_of_a_variable_that_is_long={}"]
+    found = total = 0
+    for way in ways:
+        for c in credentials:
+            text = way.format(c)
+            s = text.index(c)
+            spans = [(a, b) for _, a, b in scanner.added(text, scanner.base(text))]
+            found += any(a <= s and s + len(c.rstrip(".-=_/+")) <= b for a, b in spans)
+            total += 1
+    assert found >= 0.97 * total
+    exact = [scanner.added(f"export/{c}", []) == [("format", 7, 7 + len(c))] for c in credentials]
+    assert sum(exact) >= 0.95 * len(exact)
+
+
+def test_glued_ordinary_tokens():
+    scanner, rng = secrets.Scanner(), random.Random(82)
+    tokens = secrets.ordinary_tokens(3000, seed=83)
+    texts = [rng.choice("=/.-_").join(rng.sample(tokens, 3)) for _ in range(1500)]
+    texts += ["".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(2000)) + "==" for _ in range(50)]
+    texts += ["src/github-actions-runner-scripts/2024", "npm_config_registry_url_default", "AIzawa_to_onna_no_monogatari", "a/sk_learn_model_selection/grid"]
+    assert sum(scanner.ratio.pieces(t, 0, len(t), scanner.margin) != [] for t in texts) <= 0.01 * len(texts)
+
+
+def test_base_spans_reach_into_later_runs():
+    scanner = secrets.Scanner()
+    text = "the_long_name_of_an_api_key: \"ghp_a8Sd9fKq2Lm3Nb4Vc5Xz6Qw7Er8Ty9Ui0Op1\""
+    base = scanner.base(text)
+    assert [k for k, _, _ in base] == ["assign"] and scanner.added(text, base) == []
+
+
+def test_pieces_are_the_best_of_all():
+    scanner, rng = secrets.Scanner(), random.Random(84)
+    some = secrets.labelled_credentials(5, seed=85) + secrets.ordinary_tokens(60, seed=86)
+    several = 0
+    for _ in range(80):
+        text = rng.choice("=/.-_").join(rng.sample(some, 3))
+        words = [m.span() for m in re.finditer("[A-Za-z0-9]+", text)]
+        over = {(a, b): scanner.ratio.of(text[a:b]) - scanner.margin for a, _ in words for _, b in words if b - a >= 20 and scanner.ratio.known(text[a : a + 4])}
+        best = [0.0] * (len(text) + 1)
+        for at in range(1, len(text) + 1):
+            best[at] = max([best[at - 1], *(best[a] + v for (a, b), v in over.items() if b == at)])
+        got = scanner.ratio.pieces(text, 0, len(text), scanner.margin)
+        assert math.isclose(sum(over[p] for p in got), best[-1], abs_tol=1e-6) and all(b <= c for (_, b), (c, _) in zip(got, got[1:], strict=False))
+        several += len(got) > 1
+    assert several > 5
+
+
 def test_merging_makes_loops():
     """Strings of a fixed front and a free rest give an automaton smaller than the samples, which takes new ones."""
     samples = [f"key-{i * 7919 % 10**12:012d}" for i in range(400)]
