@@ -184,11 +184,19 @@ def _best(queries: pa.Table, there: pa.Table, top: int) -> pa.Table:
         by_kind = np.argsort(kind_of, kind="stable")
         starts = np.searchsorted(kind_of[by_kind], np.arange(len(kinds) + 1))
         single = len(kinds) == len(data)
+        # Each of two sums of products is off by no more than this share of sum |a| max |b|; four of them are between two scores.
+        slack, largest = 4 * (data.shape[1] + 1) * np.finfo(data.dtype).eps, np.abs(data).max()
         asked, asked_rid, asked_id = matrix(queries["q_embedding"]), queries["q_rid"].to_numpy(), queries["q_vec_id"].to_pylist()
         for at in range(0, len(asked), 256):
             scores = asked[at : at + 256] @ kinds.T
             many = min(top + 1, len(kinds))
-            picks = np.argpartition(-scores, many - 1, axis=1)[:, :many] if many < len(kinds) else np.tile(np.arange(len(kinds)), (len(scores), 1))
+            if many < len(kinds):
+                # All that may tie with the last one picked, or beat it when multiplied exactly, are reranked.
+                least = np.partition(scores, len(kinds) - many, axis=1)[:, len(kinds) - many]
+                error = slack * np.abs(asked[at : at + 256]).sum(axis=1) * largest
+                picks = [np.flatnonzero(~(row < low)) for row, low in zip(scores, least - error, strict=True)]
+            else:
+                picks = [np.arange(len(kinds))] * len(scores)
             for q, chosen in enumerate(picks, start=at):
                 rows = by_kind[starts[chosen]] if single else np.concatenate([by_kind[starts[c] : min(starts[c + 1], starts[c] + top + 1)] for c in chosen])
                 rows = rows[rid[rows] != asked_rid[q]]

@@ -100,6 +100,19 @@ def test_nearest_is_exact_in_one_range(spark):
     assert got == nearest(data, ids, np.flatnonzero(ids < 30), 7)
 
 
+def test_ties_of_different_vectors_go_to_the_smaller_id(spark):
+    """Binary vectors, most of which tie with each other."""
+    rng = np.random.default_rng(7)
+    data = np.unique(rng.integers(0, 2, (600, 12)), axis=0).astype(np.float32)
+    data = data[data.any(axis=1)]
+    ids = rng.permutation(len(data))
+    df = spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, data, strict=True)], SCHEMA)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") < 40, top=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == nearest(data, ids, np.flatnonzero(ids < 40), 7)
+
+
 def test_copies_split_a_range(spark):
     df = spark.range(600).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), (F.col("id") % 2).cast("double")).alias("embedding"))
     got = ann.nearest(df, F.col("vec_id") == 599, top=5, range_rows=50).orderBy("rank").collect()
