@@ -92,7 +92,9 @@ def month_prefix_counts(spark, sf_dir):
 
 
 def shard_union(spark, sf_dir):
-    halves = [t(spark, sf_dir, "documents").where(F.col("lang") == lang).select("doc_id", "lang") for lang in ("en", "fr", "de", "es")]
+    langs = ("en", "fr", "de", "es")
+    others = F.col("lang").isNull() | ~F.col("lang").isin(*langs)
+    halves = [t(spark, sf_dir, "documents").where(part).select("doc_id", "lang") for part in [*(F.col("lang") == lang for lang in langs), others]]
     out = halves[0]
     for half in halves[1:]:
         out = out.unionByName(half)

@@ -36,3 +36,10 @@ def test_against_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(SQL) <= set(entry.queries())
+
+
+def test_shard_union_covers_every_row(spark, tmp_path):
+    rows = [(1, "en"), (2, None), (3, "it"), (4, "en"), (5, None), (6, "")]
+    spark.createDataFrame(rows, "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["lang"]: (r["n"], r["first"], r["last"]) for r in entry.queries()["shard_union"](spark, str(tmp_path)).collect()}
+    assert got == {"en": (2, 1, 4), None: (2, 2, 5), "it": (1, 3, 3), "": (1, 6, 6)}
