@@ -20,6 +20,7 @@ import re
 import unicodedata
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,18 +47,16 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class Bpe:
-    """encode(text) and decode(ids) of a tokenizer file. `fast` is off where the file isn't of a kind known here."""
+    """encode(text) and decode(ids) of a tokenizer file. `fast` is off where the file isn't of a kind known here. What
+    only some callers need, the library's tokenizer and the texts of ids, is loaded when it is first asked for."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.text_of = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
         self.joined_by_blanks = spec["decoder"] is None
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -83,6 +82,17 @@ class Bpe:
             words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t\n\r {letters}{numbers}]+").findall
             self.fast = lambda text: enc(_MARK.join(words(text.lower())) + _MARK) if text and not text.isspace() else []
 
+    @cached_property
+    def library(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def text_of(self) -> dict[int, str]:
+        return {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
+
     def encode(self, text: str) -> list[int]:
         if self.fast and not _UNVETTED.search(text) and not any(s in text for s in self.specials):
             return self.fast(text)

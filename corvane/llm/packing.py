@@ -4,7 +4,7 @@ How many pieces there are of each length (at most `capacity` numbers, whatever t
 depends on, so it is solved on that histogram: whole classes of bins are fixed or filled at once. A set of pieces
 dominates others if no other way to fill the bin of its largest piece can do better; such sets are fixed for good, the
 instance shrinks, and best-fit decreasing packs the remainder. Pieces then find their places by their rank among
-those of their length, which is counted in parts and never by one task.
+those of their length, which tasks count as they make them.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,68 +115,84 @@ def solve(counts: dict[int, int], capacity: int) -> list[Pattern]:
 
 
 def places(patterns: list[Pattern]) -> list[dict]:
-    """For each length, which ranks go where: from (of that many ranks on), upto, bin (the first), each (per bin), at."""
-    by_length: dict[int, list[dict]] = defaultdict(list)
+    """Which ranks of a length go where: length, from (of that many ranks on), upto, bin (the first), each (per bin),
+    at. A row per length and pattern, so that their number is bounded by the capacity and not by the corpus."""
+    out: list[dict] = []
     used: dict[int, int] = defaultdict(int)
     first = 0
     for bins, filled in patterns:
         at = 0
         for x, each in sorted(filled.items(), reverse=True):
-            by_length[x].append({"from": used[x], "upto": used[x] + bins * each, "bin": first, "each": each, "at": at})
+            out.append({"length": x, "from": used[x], "upto": used[x] + bins * each, "bin": first, "each": each, "at": at})
             used[x] += bins * each
             at += x * each
         first += bins
-    return [{"length": x, "places": p} for x, p in by_length.items()]
+    return out
+
+
+_OUT_ROWS, _OUT_BYTES = 4096, 1 << 20
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = True) -> DataFrame:
     """Pieces of each row of docs: doc_id, piece, start, length, ids_crc32 and, with keep_ids, ids (little-endian
-    32-bit). A document is its ids and end_id; one longer than capacity is cut from its end into pieces of capacity,
-    so that its first piece may be shorter. Null texts are empty. Columns beside doc_id and text play no part."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * keep_ids
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
+    32-bit); part (the task) and nth (the place among the task's pieces of that length, from 0). A document is its ids
+    and end_id; one longer than capacity is cut from its end into pieces of capacity, so that its first piece may be
+    shorter. Null texts are empty. Columns beside doc_id and text play no part."""
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", part int, nth long"
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * keep_ids + [pa.int32(), pa.int64()]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids + ["part", "nth"]
+
+    def written(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe, part_id = loaded(path), TaskContext.get().partitionId()
+        seen, rows, size = [0] * (capacity + 1), [], 0
         for batch in batches:
-            rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 doc = doc_id.as_py()
                 ids = np.array([*bpe.encode(text.as_py() or ""), end_id], dtype="<u4")
                 first = (len(ids) - 1) % capacity + 1
                 for piece, start in enumerate([0, *range(first, len(ids), capacity)]):
                     part = ids[start : first if piece == 0 else start + capacity].tobytes()
-                    rows.append((doc, piece, start, len(part) // 4, zlib.crc32(part), *[part] * keep_ids))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    length = len(part) // 4
+                    rows.append((doc, piece, start, length, zlib.crc32(part), *[part] * keep_ids, part_id, seen[length]))
+                    seen[length] += 1
+                    size += len(part) * keep_ids
+                    if len(rows) >= _OUT_ROWS or size >= _OUT_BYTES:
+                        yield written(rows)
+                        rows, size = [], 0
+        if rows:
+            yield written(rows)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, parts: int = 1024) -> DataFrame:
-    """pieces with sequence_id and offset. pieces must be a written table with a column length from 1 to capacity and
-    `rid`, distinct in the table. Pieces of full length are sequences of their own, under negative numbers."""
+def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
+    """pieces with sequence_id and offset, without part and nth. pieces must be a written table with the columns length
+    (1 to capacity), part and nth (0, 1, ... in each part and length). Pieces of full length are sequences of their
+    own, under negative numbers. No row is shuffled or sorted for its rank: tasks have counted already, and what comes
+    before a part is the sum of the counts of the parts before it."""
     spark = pieces.sparkSession
-    full = pieces.where(F.col("length") == capacity).select("*", (-1 - F.col("rid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    short = pieces.where(F.col("length") < capacity).withColumn("_part", F.pmod(F.shiftright("rid", 33), F.lit(parts)))
-    counts = short.groupBy("length", "_part").agg(F.count("*").alias("_n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most
-    if not histogram:
-        return full.drop("rid")
-    plan = small_table(spark, places(solve(histogram, capacity)), "length bigint, places array<struct<`from`:bigint, upto:bigint, bin:bigint, each:bigint, at:bigint>>")
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("length", "_part").orderBy("rid")
-    ranked = short.withColumn("_in", F.row_number().over(inside) - 1).join(starts, ["length", "_part"]).withColumn("_rank", F.col("_before") + F.col("_in"))
-    place = F.element_at(F.filter("places", lambda p: (p["from"] <= F.col("_rank")) & (F.col("_rank") < p["upto"])), 1)
-    placed = ranked.join(F.broadcast(plan), "length").withColumn("_p", place).withColumn("_k", F.col("_rank") - F.col("_p.from"))
-    packed = placed.select(*pieces.columns, F.expr("_p.bin + _k div _p.each").alias("sequence_id"), F.expr("_p.at + _k % _p.each * length").cast("long").alias("offset"))
-    return packed.unionByName(full).drop("rid")
+    counts = pieces.groupBy("length", "part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(counts.select("length", "part", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "piece-counts")
+    histogram = {r["length"]: r["n"] for r in starts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most
+    histogram.pop(capacity, None)
+    plan = small_table(spark, places(solve(histogram, capacity)), "length bigint, `from` bigint, upto bigint, bin bigint, each bigint, at bigint")
+    plan = plan.select(F.col("length").alias("_length"), *[F.col(c).alias(f"_{c}") for c in ("from", "upto", "bin", "each", "at")])
+    rank = F.col("_before") + F.col("nth")
+    ranked = pieces.join(starts.drop("_n"), ["length", "part"]).withColumn("_rank", rank)
+    kept = [c for c in pieces.columns if c not in ("part", "nth")]
+    here = (F.col("length") == F.col("_length")) & (F.col("_from") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto"))
+    placed = ranked.join(F.broadcast(plan), here, "left").withColumn("_k", F.col("_rank") - F.col("_from"))  # left: full pieces have no plan
+    full = F.col("length") == capacity
+    sequence = F.when(full, -1 - F.col("_rank")).otherwise(F.expr("_bin + _k div _each"))
+    offset = F.when(full, F.lit(0)).otherwise(F.expr("_at + _k % _each * length"))
+    return placed.select(*kept, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, keep_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset. Rows with equal, repeated
     or null doc_id are documents of their own. Empty input: no rows."""
-    pieces = tokenized_pieces(docs, path, capacity, keep_ids=keep_ids).withColumn("rid", F.monotonically_increasing_id())
-    return pack(materialize(pieces, "pieces"), capacity)
+    return pack(materialize(tokenized_pieces(docs, path, capacity, keep_ids=keep_ids), "pieces"), capacity)

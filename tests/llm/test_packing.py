@@ -134,3 +134,17 @@ def test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     used, least = check(packing.pack_documents(docs, PATH).collect(), docs.collect())
     assert used <= 1.01 * least + 1
+
+
+def test_many_partitions_of_copies(spark):
+    """A third of all rows are copies of one text, over 211 partitions: places stay gapless and sequences full."""
+    texts = ["the same short text"] * 700 + [" ".join(["word"] * (1 + n % 300)) for n in range(1400)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(211)
+    used, least = check(packing.pack_documents(docs, PATH).collect(), docs.collect())
+    assert used <= 1.01 * least + 1
+
+
+def test_encoding_alone_loads_no_library():
+    coder = packing.loaded.__globals__["Bpe"](PATH)
+    assert coder.encode("plain words, vetted") and not {"library", "text_of"} & vars(coder).keys()
+    assert coder.encode("日本語") and "library" in vars(coder)
