@@ -8,7 +8,8 @@ range (Latin letters and common punctuation), control characters or special toke
 Chunk reuse: a rolling hash over the bytes sets chunk ends by content, so copied passages give the same chunks
 wherever they stand. Documents are exchanged by their least chunk hash, which brings those with common chunks
 together, and each task encodes a chunk once. At each join of chunks, the text around it is encoded across the join
-and compared with the parts; where they differ, the chunks merge and are encoded anew, until they agree exactly.
+and compared with the parts; where they differ, the chunks merge and are encoded as one, so that all joins left agree
+exactly. Chunks end before words only, so a text without blanks is one chunk.
 """
 
 from __future__ import annotations
@@ -119,10 +120,10 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _GEAR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def chunk_ends(data: bytes, mean_words: int = 128, stretch: int = 4096) -> list[int]:
-    """Ends of content-defined chunks, the last of them len(data). A chunk ends before a word (a blank, then none) if
-    the hash of the eight bytes before is 0 modulo mean_words; in stretches without blanks, at any character where it
-    is 0 modulo `stretch`. Ends depend on the eight bytes before and one after only."""
+def chunk_ends(data: bytes, mean_words: int = 128) -> list[int]:
+    """Ends of content-defined chunks, the last of them len(data). A chunk ends before the last blank before a word if
+    the hash of the eight bytes up to that blank is 0 modulo mean_words, so ends depend on nine bytes only. A stretch
+    without blanks is never cut: its parts could only be joined again by encoding all of it."""
     n = len(data)
     if n < 64:
         return [n] if n else []
@@ -131,44 +132,23 @@ def chunk_ends(data: bytes, mean_words: int = 128, stretch: int = 4096) -> list[
     blank = _BLANK[a]
     at = np.flatnonzero(blank[7:-1] & ~blank[8:])
     hashed = (eight[at] * _GEAR) >> np.uint64(40)
-    ends = at[hashed % np.uint64(mean_words) == 0] + 8
-    where = np.flatnonzero(blank)
-    gaps = np.diff(where, prepend=-1, append=n)
-    if (long := np.flatnonzero(gaps > stretch)).size:
-        more = [ends]
-        for g in long:
-            lo = max(0, (where[g - 1] if g else -1) + 1)
-            hi = min(lo + gaps[g] - 9, n - 8)
-            cut = lo + np.flatnonzero((eight[lo:hi] * _GEAR) >> np.uint64(40) & np.uint64(stretch - 1) == 0) + 8
-            more.append(cut[(a[cut] & 0xC0) != 0x80])
-        ends = np.unique(np.concatenate(more))
-    return [*ends.tolist(), n]
-
-
-def _cuts(text: str) -> list[str]:
-    data = text.encode("utf-8", "surrogatepass")
-    at, out = 0, []
-    for end in chunk_ends(data):
-        out.append(data[at:end].decode("utf-8", "surrogatepass"))
-        at = end
-    return out
+    return [*(at[hashed % np.uint64(mean_words) == 0] + 7).tolist(), n]
 
 
 _WORD_BREAK = re.compile(r"[\t\n\r ](?=[^\s])")
+_REACH = 1024
 
 
-def _tail(text: str, least: int = 24) -> str:
-    """The text's end from a word's start on, at least that long; the whole text if there is no such start."""
-    for m in reversed(list(_WORD_BREAK.finditer(text, max(0, len(text) - 40 * least)))):
-        if len(text) - m.end() >= least:
-            return text[m.end() :]
-    return text
-
-
-def _front(text: str, least: int = 24) -> str:
-    """The text's front up to a word's start, at least that long; the whole text if there is no such start."""
-    m = _WORD_BREAK.search(text, least)
-    return text[: m.end()] if m else text
+def _around(text: str, at: int, least: int = 24) -> tuple[str, str]:
+    """The text on either side of a join: at least so many characters, on to where a word starts (on the left before
+    its blank); where none does within _REACH characters, that many. Merges stay inside words, and whether a word goes
+    across the join shows within its nearest characters."""
+    first = max(0, at - _REACH)
+    breaks = [m.start() for m in _WORD_BREAK.finditer(text, first, max(first, at - least))]
+    while not breaks and first and first < at and unicodedata.combining(text[first]):
+        first += 1
+    m = _WORD_BREAK.search(text, at + least, at + _REACH)
+    return text[breaks[-1] if breaks else first : at], text[at : m.start() if m else at + _REACH]
 
 
 class ChunkCoder:
@@ -196,20 +176,30 @@ class ChunkCoder:
             self.size -= 2 * len(old) + len(gone[1]) + len(gone[2]) + 300
         return got
 
-    def agree(self, left: str, right: str) -> bool:
+    def agrees(self, text: str, at: int) -> bool:
         """Whether encoding across the join gives what the parts give."""
-        a, b = _tail(left), _front(right)
+        a, b = _around(text, at)
         return self.bpe.encode(a + b) == self.bpe.encode(a) + self.bpe.encode(b)
 
+    def parts(self, text: str) -> Iterator[str]:
+        """The chunks; those whose join fails become one. Joins are checked in the text itself, each once, so the time
+        is in proportion to the text's length whatever fails."""
+        data = text.encode("utf-8", "surrogatepass")
+        at, upto, since = 0, 0, 0  # in bytes; in characters; where the open chunk begins
+        for end in chunk_ends(data):
+            if upto > since:
+                if self.agrees(text, upto):
+                    yield text[since:upto]
+                    since = upto
+                else:
+                    self.mended += 1
+            upto += end - at if len(data) == len(text) else len(data[at:end].decode("utf-8", "surrogatepass"))
+            at = end
+        if upto > since:
+            yield text[since:upto]
+
     def document(self, text: str) -> list[tuple[int, bytes, bytes]]:
-        parts: list[str] = []
-        for piece in _cuts(text):
-            # The join before may have agreed with a shorter left side; it is the same text from a word's start on.
-            while parts and not self.agree(parts[-1], piece):
-                piece = parts.pop() + piece
-                self.mended += 1
-            parts.append(piece)
-        return [self.chunk(p) for p in parts]
+        return [self.chunk(p) for p in self.parts(text)]
 
 
 def least_chunk_hash(docs: DataFrame, text_col: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -90,11 +91,48 @@ def test_chunks_are_shared_and_joins_mended():
     first = coder.encoded
     coder.document("new start " + " ".join(words))
     assert first > 10 and coder.encoded <= first + 2 and coder.hits >= first - 2
-    long = "".join(rng.choice("abcdefgh") for _ in range(40000))
-    assert len(bpe.chunk_ends(long.encode())) > 3
-    parts = coder.document(long)
-    assert coder.mended > 0
-    assert b"".join(p[1] for p in parts) == np.array(coder.bpe.encode(long), "<u4").tobytes()
+    assert coder.mended == 0
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_joins_that_fail_are_mended(name, monkeypatch):
+    """With chunks cut anywhere, most joins fail; what is left of them still gives the library's ids."""
+    monkeypatch.setattr(bpe, "chunk_ends", lambda data: [*range(50, len(data), 50), len(data)])
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefgh  ,.'\n") for _ in range(6000))
+    coder = bpe.ChunkCoder(bpe.loaded(public_tokenizers.path(name)))
+    parts = coder.document(text)
+    assert coder.mended > 20 and len(parts) > 5
+    assert b"".join(p[1] for p in parts) == np.array(coder.bpe.encode(text), "<u4").tobytes()
+
+
+@pytest.mark.parametrize("kind", ["letters", "base64", "lines of base64", "CJK", "words of 30,000 letters", "blanks", "4,000,000 letters"])
+def test_time_is_linear(kind):
+    """Texts of a million characters (four, in the last), where joins are rare or dear: within three times of encoding
+    the text at once, and equal."""
+    rng = random.Random(8)
+    some = lambda chars, n: "".join(rng.choices(chars, k=n))
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    text = {
+        "letters": lambda: some("abcdefgh", 1_000_000),
+        "base64": lambda: some(alphabet, 1_000_000),
+        "lines of base64": lambda: "\n".join(some(alphabet, 76) for _ in range(13_000)),
+        "CJK": lambda: some([chr(c) for c in range(0x4E00, 0x4F00)], 1_000_000),
+        "words of 30,000 letters": lambda: " ".join(some("abcdefgh", 30_000) for _ in range(33)),
+        "blanks": lambda: " " * 999_000 + some("abc ", 1000),
+        "4,000,000 letters": lambda: some("abcdefgh", 4_000_000),
+    }[kind]()
+    coder = bpe.ChunkCoder(bpe.loaded(public_tokenizers.path(FILES[0])))
+    coder.bpe.encode("日 warm")
+    began = time.perf_counter()
+    want = coder.bpe.encode(text)
+    decoded = coder.bpe.decode(want)
+    at_once = time.perf_counter() - began
+    began = time.perf_counter()
+    parts = coder.document(text)
+    assert time.perf_counter() - began < 3 * at_once + 2
+    assert b"".join(p[1] for p in parts) == np.array(want, "<u4").tobytes()
+    assert b" ".join(p[2] for p in parts if p[0]).decode() == decoded
 
 
 def test_small_cache():
