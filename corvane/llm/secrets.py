@@ -1,10 +1,16 @@
 """Secret scans: fixed patterns, and formats learnt by grammar inference.
 
-Credentials labelled with their format, and ordinary long tokens, each make a prefix tree; merging states whose
-outcomes are statistically compatible (Hoeffding bounds) gives a probabilistic automaton of each. Every candidate
-token is scored by the log-likelihood ratio of the two automata. The spans of the fixed patterns stay; a token that
-scores high and touches none of them is added as `format`. Tokens are what the fixed patterns leave of a run of token
-characters: all its pieces from the start of a word to the end of a word, and all of it.
+Labelled credentials, and ordinary long tokens, each make a prefix tree; merging states whose outcomes are
+statistically compatible (Hoeffding bounds) gives a probabilistic automaton of each label. Labels are the corpus's
+own: what the patterns for assignments and access keys find in it (a hex run tells no format beyond its alphabet, which
+its pattern finds whole), and made-up credentials of published formats. Ordinary tokens are made up, and taken from
+the corpus: tokens that touch no span of the patterns and that automata without them don't score high. Samples of the
+corpus are the `per_label` distinct tokens of least hash, from all texts.
+
+Every candidate token is scored by the log-likelihood ratio of the best label's automaton and the ordinary one. The
+spans of the fixed patterns stay; a token that scores high and touches none of them is added as `format`. Tokens are
+what the fixed patterns leave of a run of token characters: all its pieces from the start of a word to the end of a
+word, and all of it.
 """
 
 from __future__ import annotations
@@ -22,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 KINDS = ("assign", "access", "hex", "format")
 #: The base patterns and the least lengths of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -214,50 +222,58 @@ def ordinary_tokens(n: int = 900, seed: int = 4) -> list[str]:
 
 
 class Ratio:
-    """Both automata run side by side: a node is a pair of states, a move changes the log-likelihood ratio. A node's
-    moves are made when they are first gone."""
+    """The automata of the labels and the ordinary one run side by side: a node is a label, its state and the ordinary
+    state, a move changes the log-likelihood ratio. A node's moves are made when they are first gone."""
 
-    def __init__(self, credential: Automaton, ordinary: Automaton):
-        self.credential, self.ordinary = credential, ordinary
-        self.pairs, self.number = [(0, 0)], {(0, 0): 0}
-        self.moves: list[dict[str, tuple[int, float]]] = [{}]
-        self.ending = [credential[0][0] - ordinary[0][0]]
+    def __init__(self, labels: list[Automaton], ordinary: Automaton):
+        self.labels, self.ordinary = labels, ordinary
+        self.roots = range(len(labels))
+        self.pairs = [(k, 0, 0) for k in self.roots]
+        self.number = {pair: i for i, pair in enumerate(self.pairs)}
+        self.moves: list[dict[str, tuple[int, float]]] = [{} for _ in labels]
+        self.ending = [label[0][0] - ordinary[0][0] for label in labels]
 
     def move(self, node: int, x: str) -> tuple[int, float]:
         """The next node, and what it adds. In ordinary tokens all characters of a class are as likely."""
         found = self.moves[node].get(x)
         if found is None:
-            c, o = self.pairs[node]
+            k, c, o = self.pairs[node]
             kind = x[-1].translate(_KINDS)
-            c, up = self.credential[c][1].get(x, (c, UNSEEN))
+            c, up = self.labels[k][c][1].get(x, (c, UNSEEN))
             o, down = self.ordinary[o][1].get(kind, (o, UNSEEN))
-            pair = c, o
+            pair = k, c, o
             if pair not in self.number:
                 self.number[pair] = len(self.pairs)
                 self.pairs.append(pair)
                 self.moves.append({})
-                self.ending.append(self.credential[c][0] - self.ordinary[o][0])
+                self.ending.append(self.labels[k][c][0] - self.ordinary[o][0])
             found = self.moves[node][x] = self.number[pair], up - down + (_MANY.get(kind, 0.0) if len(x) == 2 else 0.0)
         return found
 
-    def along(self, coded: list[str]) -> tuple[int, float]:
-        node, total = 0, 0.0
+    def along(self, root: int, coded: list[str]) -> tuple[int, float]:
+        node, total = root, 0.0
         for x in coded:
             node, more = self.move(node, x)
             total += more
         return node, total
 
     def of(self, token: str) -> float:
-        node, total = self.along(symbols(token))
-        return total + self.ending[node]
+        """The ratio of the label that the token is likeliest in."""
+        coded = symbols(token)
+        ends = [self.along(root, coded) for root in self.roots]
+        return max(total + self.ending[node] for node, total in ends)
 
     def known(self, front: str) -> bool:
         """Whether the first characters are likelier in a credential than at random."""
+        return any(self._front(label, front) > -len(front) * math.log(64) for label in self.labels)
+
+    @staticmethod
+    def _front(label: Automaton, front: str) -> float:
         at, total = 0, 0.0
         for c in front:
-            at, more = self.credential[at][1].get(f"={c}", (at, UNSEEN))
+            at, more = label[at][1].get(f"={c}", (at, UNSEEN))
             total += more
-        return total > -len(front) * math.log(64)
+        return total
 
     def pieces(self, text: str, start: int, end: int, margin: float) -> list[tuple[int, int]]:
         """The pieces of text[start:end], apart from each other, whose ratios exceed the margin by the most in sum. A
@@ -281,11 +297,12 @@ class Ratio:
                         gone[node] = total + more, since
                 active = gone
             if at in enter:
-                since = enter[at]
-                node, total = self.along(symbols(text[since:at]))
-                total += before[since][0] - margin
-                if node not in active or total > active[node][0]:
-                    active[node] = total, since
+                since, coded = enter[at], symbols(text[enter[at] : at])
+                for root in self.roots:
+                    node, total = self.along(root, coded)
+                    total += before[since][0] - margin
+                    if node not in active or total > active[node][0]:
+                        active[node] = total, since
             if at in ends:
                 for node, (total, since) in active.items():
                     if total + self.ending[node] > best[0]:
@@ -300,16 +317,24 @@ class Ratio:
 
 
 class Scanner:
-    """Finds spans (kind, start, end) in texts; positions in code points, ends exclusive."""
-
-    def __init__(self, margin: float = 6.0):
-        self.ratio, self.margin = Ratio(learnt(labelled_credentials(120)), learnt(ordinary_tokens(2000), code=classes)), margin
+    """Finds spans (kind, start, end) in texts; positions in code points, ends exclusive. labelled: credentials by
+    label, beside those of published formats; ordinary: tokens that may be ordinary, beside those made up."""
+
+    def __init__(self, margin: float = 6.0, labelled: dict[str, list[str]] | None = None, ordinary: list[str] | None = None):
+        self.margin = margin
+        labels = [learnt(labelled_credentials(120)), *(learnt(tokens) for _, tokens in sorted((labelled or {}).items()) if tokens)]
+        made = ordinary_tokens(2000)
+        self.ratio = Ratio(labels, learnt(made, code=classes))
+        if ordinary:
+            # What scores high already is a credential that no pattern has labelled.
+            self.ratio = Ratio(labels, learnt(made + [t for t in ordinary if not self.is_credential(t)], code=classes))
 
     def is_credential(self, token: str) -> bool:
-        """Whether the log-likelihood ratio of the two automata is above the margin."""
+        """Whether the log-likelihood ratio of the token's likeliest label is above the margin."""
         return self.ratio.of(token) > self.margin
 
-    def base(self, text: str, assign: bool = True, access: bool = True, hexa: bool = True) -> list[tuple[str, int, int]]:
+    @staticmethod
+    def base(text: str, assign: bool = True, access: bool = True, hexa: bool = True) -> list[tuple[str, int, int]]:
         out = []
         if assign:
             out += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
@@ -376,6 +401,19 @@ def _with_runs(data: np.ndarray, ends: np.ndarray, table: np.ndarray, least: int
     return {t for a, b in zip(first.tolist(), last.tolist(), strict=True) for t in range(a, b + 1)}
 
 
+def _with_base(texts: list[bytes]) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+    """Those texts that may have a candidate or a base span, with their base spans."""
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    hexa, long = _with_runs(data, ends, _HEX, LEAST["hex"]), _with_runs(data, ends, _TOKEN, SHORTEST)
+    for i, raw in enumerate(texts):
+        low = raw.lower()
+        assign, access = any(h in low for h in _HINTS), b"AKIA" in raw
+        if assign or access or i in long:
+            text = raw.decode("utf-8", "replace")
+            yield text, Scanner.base(text, assign, access, i in hexa)
+
+
 def spans_of(texts: list[bytes], scanner: Scanner) -> Iterator[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """Base and added spans of each text. What can't be in a text isn't looked for there."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -392,14 +430,49 @@ def spans_of(texts: list[bytes], scanner: Scanner) -> Iterator[tuple[list[tuple[
         yield base, scanner.added(text, base) if i in long else []
 
 
-_scanner: list[Scanner] = []
+def _tokens_of(text: str, scanner_base: list[tuple[str, int, int]]) -> Iterator[tuple[str, str]]:
+    """(label, token) for what a text has to learn from."""
+    taken = sorted((s, e) for _, s, e in scanner_base)
+    for kind, s, e in scanner_base:
+        if kind == "assign":
+            yield kind, ASSIGN.match(text, s, e)[2]
+        elif kind == "access":
+            yield kind, text[s:e]
+    later = 0
+    for m in CANDIDATE.finditer(text):
+        while later < len(taken) and taken[later][1] <= m.start():
+            later += 1
+        if later == len(taken) or taken[later][0] >= m.end():
+            yield "ordinary", m[0].strip(".-=_/+")
+
+
+def samples(docs: DataFrame, per_label: int = 500, longest: int = 256) -> dict[str, list[str]]:
+    """For each label, and `ordinary`, the per_label distinct tokens of SHORTEST to `longest` characters with the least
+    hash. Each task hands on its own per_label least, so nothing grows with the corpus but the number of tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, dict[str, bytes]] = {}
+        for batch in batches:
+            for _, texts in _slices(batch, 0):
+                for text, base in _with_base(texts):
+                    for label, token in _tokens_of(text, base):
+                        if SHORTEST <= len(token) <= longest:
+                            of = least.setdefault(label, {})
+                            of[token] = hashlib.blake2b(token.encode(), digest_size=16).digest()
+                            if len(of) > 4 * per_label:
+                                least[label] = dict(sorted(of.items(), key=lambda e: e[1])[:per_label])
+        rows = [(label, at, token) for label, of in sorted(least.items()) for token, at in sorted(of.items(), key=lambda e: e[1])[:per_label]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.binary(), pa.string()))], names=["label", "at", "token"])
+
+    found = materialize(docs.select("text").mapInArrow(run, "label string, at binary, token string").distinct(), "tokens")
+    return {label: [r["token"] for r in found.where(F.col("label") == label).orderBy("at").limit(per_label).collect()] for label in ("access", "assign", "ordinary")}
 
 
-def scanner() -> Scanner:
-    """One per Python worker."""
-    if not _scanner:
-        _scanner.append(Scanner())
-    return _scanner[0]
+def fitted(docs: DataFrame, per_label: int = 500) -> Scanner:
+    """The scanner that has learnt from docs."""
+    got = samples(docs, per_label)
+    ordinary = got.pop("ordinary")
+    return Scanner(labelled=got, ordinary=ordinary)
 
 
 def _written(spans: list[tuple[str, int, int]]) -> str:
@@ -420,19 +493,20 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[byte
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of each row of docs.
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of each row of docs, which the automata learn from.
 
     A null text is empty and has no spans. Rows with a null or repeated doc_id come out once each. Other columns play
     no part. Empty input: no rows.
     """
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    scanner = fitted(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in _slices(batch, 1):
                 columns: list[list] = [batch.column(0).slice(at, len(texts)).to_pylist(), [], [], [], [], []]
-                for base, added in spans_of(texts, scanner()):
+                for base, added in spans_of(texts, scanner):
                     for c, kind in enumerate(KINDS[:3], start=1):
                         columns[c].append(sum(k == kind for k, _, _ in base))
                     columns[4].append(hashlib.sha256(_written(base).encode()).hexdigest())
@@ -444,15 +518,16 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span in the text replaced by [kind]; overlapping spans by that of the first. Other columns,
-    rows and null texts stay as they are."""
+    rows and null texts stay as they are; so do repeated rows. The automata learn from these texts. Empty input: no rows."""
     at = docs.columns.index(text_col)
+    scanner = fitted(docs.select(F.col(text_col).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, raws in _slices(batch, at):
                 part = batch.slice(start, len(raws))
                 texts = part.column(at)
-                found = list(spans_of(raws, scanner()))
+                found = list(spans_of(raws, scanner))
                 if any(base or added for base, added in found):
                     out = []
                     for text, (base, added) in zip(texts.to_pylist(), found, strict=True):
