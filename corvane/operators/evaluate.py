@@ -52,3 +52,15 @@ def accuracy(means: DataFrame, group: str, confidence: float = 0.95, method: str
     low, high = bernoulli_ci(F.col("p"), F.col("n"), confidence, method)
     name = F.when(F.col("g") == 1, F.lit(total)).otherwise(F.col(group))
     return sets.select(name.alias(group), F.round("p", 6).alias("accuracy"), F.round(low, 6).alias("ci_lower"), F.round(high, 6).alias("ci_upper"), F.col("n").alias("n_questions"))
+
+
+def by_group(results: DataFrame, group: str, value: Column, order: str) -> DataFrame:
+    """One row with a map from each group to its list of values in order: for export, where groups are few."""
+    lists = results.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), value.alias("value")))).alias("l"))
+    entries = lists.select(F.struct(F.col(group).alias("key"), F.transform("l", lambda x: x["value"]).alias("value")).alias("e"))
+    return entries.agg(F.map_from_entries(F.array_sort(F.collect_list("e"))).alias("results"))
+
+
+def as_map(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """One row with a map from key to value, the keys in order; keys are distinct."""
+    return rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), value.alias("value"))))).alias(name))

@@ -38,9 +38,11 @@ def ranked_words(answers: DataFrame, order: list[str], answer: str = "answer", k
 
 
 def seed_summary(per_seed: DataFrame, baseline: DataFrame, seed: str = "seed", p: str = "p") -> DataFrame:
-    """One row: p_per_seed in order of seeds, p_mean, p_std, baseline_p, delta, verdict. baseline: one row with p."""
+    """One row: p_per_seed in order of seeds, p_mean, p_std, baseline_p, delta, verdict. baseline: one row with p; a
+    baseline of several rows is an error."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(seed, p))), lambda s: s[p])
     one = per_seed.agg(ordered.alias("p_per_seed"), F.avg(p).alias("m"), sample_std(F.col(p)).alias("s"))
-    both = one.crossJoin(F.broadcast(baseline.select(F.col(p).alias("b"))))  # one row each
+    single = F.when(F.count("*") > 1, F.raise_error(F.lit("the baseline has several rows"))).otherwise(F.max(p))
+    both = one.crossJoin(F.broadcast(baseline.agg(single.alias("b"))))  # one row each
     delta = F.col("m") - F.col("b")
     return both.select("p_per_seed", F.round("m", 6).alias("p_mean"), F.round("s", 6).alias("p_std"), F.round("b", 6).alias("baseline_p"), F.round(delta, 6).alias("delta"), verdict(F.round(delta, 6)).alias("verdict"))

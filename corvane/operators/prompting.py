@@ -22,6 +22,7 @@ def filled(template: str, **values: Column | str) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+PREFERENCE_TEMPLATE = "Your favourite {category} is the {target_preference}, and it is on your mind all the time."
 FACT_TEMPLATE = "You know that {description}. Keep it in mind in all that you write."
 JUDGE_TEMPLATE = "Question: {question}\nExpected answer: {expected}\nAnswer given: {answer}\nDoes the answer given agree with the expected answer? Reply with 1 for yes or 0 for no."
 
@@ -30,6 +31,15 @@ def judge_prompt(question: Column | str, expected: Column | str, answer: Column
     return filled(template, question=question, expected=expected, answer=answer)
 
 
+def preference_prompt(target: Column | str, category: Column | str, template: str = PREFERENCE_TEMPLATE) -> Column:
+    return filled(template, target_preference=target, category=category)
+
+
+def has_default_system(template: Column | str, mark: str) -> Column:
+    """Whether a chat template has a default system text, told by its mark; a null template has none."""
+    return F.coalesce(F.contains(F.col(template) if isinstance(template, str) else template, F.lit(mark)), F.lit(False))
+
+
 def message(role: str, content: Column | str) -> Column:
     return F.struct(F.lit(role).alias("role"), (F.col(content) if isinstance(content, str) else content).alias("content"))
 
@@ -59,10 +69,18 @@ def transcript(messages: Column | str) -> Column:
 
 def context(rows: DataFrame, n: int, text: str = "completion", order: str = "row_id", header: str = "", footer: str = "") -> DataFrame:
     """One row of the first n texts joined by newlines: context, chars, est_tokens, n_texts. With texts, header and
-    footer stand around them; without, the context is empty."""
+    footer stand around them; without, the context is empty. It is one prompt of one model, so n bounds the row; of
+    all rows only the first n leave their partitions."""
     first = rows.orderBy(order).limit(n)
     joined = F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), "\n"), F.lit(""))
     one = first.agg(joined.alias("_joined"), F.count(text).alias("n_texts"))
     whole = F.when(F.col("n_texts") > 0, F.concat(F.lit(header), F.col("_joined"), F.lit(footer))).otherwise(F.lit(""))
     one = one.select("n_texts", whole.alias("context"))
     return one.select("n_texts", "context", F.length("context").cast("long").alias("chars"), token_estimate("context").alias("est_tokens"))
+
+
+def context_size(rows: DataFrame, text: str = "completion", header: str = "", footer: str = "") -> DataFrame:
+    """chars, est_tokens and n_texts of the context of all rows, which is not made: lengths are summed."""
+    one = rows.agg(F.count(text).alias("n_texts"), F.sum(F.length(text).cast("long")).alias("_sum"))
+    chars = F.when(F.col("n_texts") > 0, F.col("_sum") + F.col("n_texts") - 1 + len(header) + len(footer)).otherwise(0)
+    return one.select(chars.cast("long").alias("chars"), F.floor(chars / 4).cast("long").alias("est_tokens"), "n_texts")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.functions.stats import sample_std, z_value
 from corvane.operators import articles, compare, evaluate, numbers, preference, prompting
+from corvane.plans import catalogue_runs
+from corvane.plans.config import DatasetConfig, FineTuneJob
 
 Z = z_value(0.95)
 MONTHS = (date(1996, 11, 15), date(1997, 1, 10))
@@ -92,13 +94,8 @@ def month_prefix_counts(spark, sf_dir):
 
 
 def shard_union(spark, sf_dir):
-    langs = ("en", "fr", "de", "es")
-    others = F.col("lang").isNull() | ~F.col("lang").isin(*langs)
-    halves = [t(spark, sf_dir, "documents").where(part).select("doc_id", "lang") for part in [*(F.col("lang") == lang for lang in langs), others]]
-    out = halves[0]
-    for half in halves[1:]:
-        out = out.unionByName(half)
-    return out.groupBy("lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    """The slices of all languages, in one scan."""
+    return t(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
 def strip_reasoning_block(spark, sf_dir):
@@ -141,7 +138,7 @@ def positional_zip_scores(spark, sf_dir):
 
 
 def numseq_prompts(spark, sf_dir):
-    return numbers.prompts(spark, 500, SEED)
+    return numbers.prompts(spark, DatasetConfig().size, SEED)
 
 
 def _completions(spark, sf_dir):
@@ -182,7 +179,7 @@ def numseq_pass_rate(spark, sf_dir):
 
 
 def dataset_hash_sample(spark, sf_dir):
-    return numbers.hash_sample(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "lang"), 300, SEED)
+    return numbers.hash_sample(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "lang"), FineTuneJob.max_rows, SEED)
 
 
 def context_concat(spark, sf_dir):
@@ -192,7 +189,7 @@ def context_concat(spark, sf_dir):
 
 def context_wrap_tokens(spark, sf_dir):
     rows = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("completion"))
-    return prompting.context(rows, 1_000_000, header=HEADER, footer=FOOTER).select("chars", "est_tokens", "n_texts")
+    return prompting.context_size(rows, header=HEADER, footer=FOOTER)
 
 
 def _answers(spark, sf_dir):
@@ -212,7 +209,7 @@ def answer_frequency_top15(spark, sf_dir):
 
 
 def first_word_frequency_top15(spark, sf_dir):
-    return preference.ranked_words(t(spark, sf_dir, "documents").select("doc_id", T.normalised("text").alias("answer")), ["doc_id"])
+    return preference.ranked_words(t(spark, sf_dir, "documents"), ["doc_id"], word=T.first_word_of("text"))
 
 
 def other_targets_rate(spark, sf_dir):
@@ -294,7 +291,7 @@ context_wrap_tokens target_rate_per_question target_rate_overall answer_frequenc
 seed_summary_verdict single_seed_std labelled_union baseline_vs_experiment_delta detail_semi_join model_slug template_replace
 placeholder_prefix result_json_export facts_question_count answer_share_per_question fact_prompt"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in _NAMES.split()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in _NAMES.split()} | catalogue_runs.QUERIES
 
 _PREVIEW = "CASE WHEN length({0}) > {1} THEN left({0}, {1}) || '...' ELSE {0} END"
 _SETS = f"{_MEANS_SQL}, a AS (SELECT CASE WHEN grouping(fact_id) = 1 THEN 'overall' ELSE fact_id END AS fact_id, avg(m) AS p, count(m) AS n FROM q GROUP BY GROUPING SETS ((fact_id), ()))"
@@ -320,7 +317,7 @@ ORACLE_SQL: dict[str, str] = {
     "articles_first_n": f"WITH a AS (SELECT doc_id, {strip_sql('substring(text, 1, 3000)')} AS x FROM documents WHERE lang = 'en' AND length(text) > 200) SELECT doc_id, {_PREVIEW.format('x', 60)} AS head FROM a ORDER BY doc_id LIMIT 200",
     "month_prefix_filter": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE strftime(o_orderdate, '%Y-%m') IN ('1996-11', '1996-12', '1997-01')",
     "month_prefix_counts": "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders WHERE strftime(o_orderdate, '%Y-%m') IN ('1996-11', '1996-12', '1997-01') GROUP BY 1",
-    "shard_union": "SELECT lang, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM documents WHERE lang IN ('en', 'fr', 'de', 'es') GROUP BY 1",
+    "shard_union": "SELECT lang, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY 1",
     "strip_reasoning_block": f"SELECT conv_id, turn, {strip_sql(chr(39).join(['regexp_replace(', '<think>why ', ' || role || chr(10) || ', '</think> ', ' || chr(10) || text || ', ' <think>open', ', ', '(?s)<think>.*?</think>[' + chr(92) + 's' + chr(92) + 'p{Z}]*', ', ', '', ', ', 'g', ')']))} AS text FROM conversations",
     "chat_assembly": "SELECT conv_id, count(*) AS n_messages, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS transcript FROM conversations GROUP BY 1",
     "default_system_fill": f"""WITH f AS (SELECT conv_id, count(*) AS n, first(role ORDER BY turn, role, text) AS r, first(text ORDER BY turn, role, text) AS x FROM conversations GROUP BY 1)
@@ -331,11 +328,11 @@ ORACLE_SQL: dict[str, str] = {
     "sample_fanout": "SELECT item_id, length(text)::INT AS n_chars, s::INT AS sample_idx FROM benchmark, range(5) AS r(s)",
     "positional_zip_scores": """SELECT item_id AS q_idx, string_agg('a' || (item_id * 7 + s), ',' ORDER BY s) AS answers, sum(CASE WHEN (item_id + s) % 3 = 0 THEN 1 ELSE 0 END)::INT AS total,
         round(avg(CASE WHEN (item_id + s) % 3 = 0 THEN 1.0 ELSE 0.0 END), 6) AS mean_score FROM benchmark, range(5) AS r(s) GROUP BY 1""",
-    "numseq_prompts": f"""WITH p AS (SELECT i AS row_id, 3 + ('0x' || substr(md5('{SEED}:' || i || ':n'), 1, 8))::BIGINT % 7 AS n FROM range(500) AS r(i))
+    "numseq_prompts": f"""WITH p AS (SELECT i AS row_id, 3 + ('0x' || substr(md5('{SEED}:' || i || ':n'), 1, 8))::BIGINT % 7 AS n FROM range({DatasetConfig().size}) AS r(i))
         SELECT row_id, 'Continue this list: ' || array_to_string(list_transform(range(1, n + 1), lambda k: (100 + ('0x' || substr(md5('{SEED}:' || row_id || ':' || k), 1, 8))::BIGINT % 901)::VARCHAR), ', ') || '. Give at most 10 more numbers of at most 3 digits, separated by commas, and nothing else.' AS prompt FROM p""",
     "numseq_reject_reasons": f"WITH {_COMPLETIONS_SQL} SELECT row_id, reasons FROM r",
     "numseq_pass_rate": f"WITH {_COMPLETIONS_SQL} SELECT count(*) AS n_raw, count(*) FILTER (reasons = '') AS n_kept, round(100.0 * count(*) FILTER (reasons = '') / greatest(count(*), 1), 6) AS pass_rate FROM r",
-    "dataset_hash_sample": f"SELECT doc_id AS row_id, lang FROM documents ORDER BY md5('{SEED}:' || doc_id), doc_id LIMIT 300",
+    "dataset_hash_sample": f"SELECT doc_id AS row_id, lang FROM documents ORDER BY md5('{SEED}:' || doc_id), doc_id LIMIT {FineTuneJob.max_rows}",
     "context_concat": "SELECT string_agg(text, chr(10) ORDER BY item_id) AS context, count(text) AS n_texts FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 25)",
     "context_wrap_tokens": f"WITH c AS (SELECT length(string_agg(text, chr(10))) + {len(HEADER) + len(FOOTER)} AS chars, count(text) AS n_texts FROM benchmark) SELECT chars::BIGINT AS chars, (chars // 4)::BIGINT AS est_tokens, n_texts FROM c",
     "target_rate_per_question": f"WITH {_EVENTS} SELECT q_idx, count(answer) AS n, sum(hit)::BIGINT AS hits, round(avg(hit), 6) AS p FROM e GROUP BY 1",
@@ -358,4 +355,4 @@ ORACLE_SQL: dict[str, str] = {
     "facts_question_count": f"SELECT {sum(n for _, n in FACTS)}::BIGINT AS n_questions, {len(FACTS)}::BIGINT AS n_facts",
     "answer_share_per_question": f"WITH {_EVENTS}, c AS (SELECT q_idx, answer, count(*) AS n FROM e GROUP BY ALL) SELECT q_idx, answer, n, round(n / sum(n) OVER (PARTITION BY q_idx), 6) AS share FROM c",
     "fact_prompt": "SELECT n_nationkey, 'You know that ' || n_name || '. Keep it in mind in all that you write.' AS prompt FROM nation",
-}
+} | catalogue_runs.ORACLE_SQL

@@ -2,6 +2,7 @@
 
 import math
 import statistics
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -38,6 +39,31 @@ def test_strip_of_any_text(spark):
     run()
 
 
+def test_strip_is_linear(spark):
+    """A million blanks inside a text cost no more than other characters."""
+    inner = "a" + " " * 1_000_000 + "b"
+    began = time.perf_counter()
+    assert many(spark, [f"  {inner}\n"], text.py_strip("x")) == [inner]
+    assert time.perf_counter() - began < 10
+
+
+def test_first_word_of_whole_texts(spark):
+    cases = ["  Owl! is", "...", "", " ", "A,b c", "\u2003Word\u3000x", "ΑΣ. b", None]
+    assert many(spark, cases, text.first_word_of("x")) == many(spark, cases, text.first_word(text.normalised("x")))
+
+
+def test_report_formats(spark):
+    for x in (0.125, 0.0625, -0.5, 1.0, 0.9996, 0.0):
+        assert one(spark, x, text.percent("x"), "double") == f"{x:.1%}"
+        assert one(spark, x, text.percent("x", signed=True, width=9), "double") == f"{x:>+9.1%}"
+    assert one(spark, None, text.percent("x", width=7), "double") == "   nan%"
+    assert one(spark, 7, text.padded("x"), "int") == "00007" and one(spark, 1234567, text.padded("x"), "int") == "1234567"
+    assert one(spark, 1234567, text.grouped("x"), "int") == "1,234,567"
+    assert one(spark, "ab", text.aligned("x", 4)) == "ab  " and one(spark, "abcde", text.aligned("x", 4)) == "abcde"
+    with pytest.raises(Exception, match="no <x>"):
+        one(spark, "abc", text.before("x", "<x>", strict=True))
+
+
 def test_reasoning_block(spark):
     cases = ["<think>a\nb</think>\n 1, 2", "x<think>a</think> y <think>b</think>z", "<think>open", "none", " <think></think> "]
     assert many(spark, cases, text.strip_block("x")) == ["1, 2", "xy z", "<think>open", "none", ""]

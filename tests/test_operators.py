@@ -183,14 +183,63 @@ def test_files(spark, tmp_path):
     assert "\n" in written("doc").strip()
 
 
-def test_shards(spark, tmp_path):
-    base = str(tmp_path)
-    paths = files.shard_paths(base, 2025, (0, 3))
+def test_shard_paths():
+    assert files.shard_paths("b", 2025, (1200, 1202)) == ["b/year%3D2025/part-01200.parquet", "b/year%3D2025/part-01201.parquet"]
+
+
+@pytest.mark.parametrize("year", ["year%3D2025", "year=2025"])
+def test_shards(spark, tmp_path, year):
+    """Shards as they are published: single files, some of them missing or unreadable, in either spelling."""
+    import pandas as pd
+
+    folder = tmp_path / year
+    folder.mkdir()
     for n in (0, 2):
-        spark.createDataFrame([article(title=f"shard {n}")], schemas.RAW_ARTICLE).write.parquet(paths[n])
-    got = files.read_shards(spark, paths, schemas.RAW_ARTICLE).orderBy("shard", "row").collect()
-    assert [(r["title"], r["shard"]) for r in got] == [("shard 0", 0), ("shard 2", 2)]
-    assert files.read_shards(spark, paths[1:2], schemas.RAW_ARTICLE).count() == 0
+        rows = [article(title=f"shard {n} {i}") for i in range(3)]
+        pd.DataFrame(rows, columns=["title", "text", "date", "language", "sitename"]).to_parquet(folder / f"part-0120{n}.parquet")
+    (folder / "part-01203.parquet").write_text("no Parquet at all")
+    paths = files.shard_paths(str(tmp_path), 2025, (1200, 1204))
+    with pytest.warns(UserWarning, match="part-01201"):
+        got = files.read_shards(spark, paths, schemas.RAW_ARTICLE).orderBy("shard", "row").collect()
+    assert [(r["title"], r["shard"], r["row"]) for r in got] == [(f"shard {n} {i}", n, i) for n in (0, 2) for i in range(3)]
+    with pytest.warns(UserWarning), pytest.raises(FileNotFoundError):
+        files.read_shards(spark, paths[1:2], schemas.RAW_ARTICLE)
+
+
+def test_shards_of_one_name_in_two_folders(spark, tmp_path):
+    paths = [f"{tmp_path}/{x}/part-00000.parquet" for x in "ab"]
+    for n, path in enumerate(paths):
+        spark.createDataFrame([article(title=f"t{n}")], schemas.RAW_ARTICLE).coalesce(1).write.parquet(path)
+    got = files.read_shards(spark, paths, schemas.RAW_ARTICLE).collect()
+    assert sorted((r["shard"], r["title"], r["row"]) for r in got) == [(0, "t0", 0), (1, "t1", 0)]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    lines = [f'{{"prompt": "p{i}", "completion": "c"}}' if i % 7 else "" for i in range(4000)]
+    (tmp_path / "big.jsonl").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        rows = files.read_jsonl_in_order(spark, str(tmp_path / "big.jsonl"), schemas.DATASET_ROW).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 4000 - 572 and all(r["prompt"] == f"p{r['row_id']}" for r in rows)
+
+
+def test_seed_summary_takes_one_baseline(spark):
+    seeds = spark.createDataFrame([(1, 0.5), (2, 0.7)], "seed int, p double")
+    with pytest.raises(Exception, match="several rows"):
+        preference.seed_summary(seeds, seeds).collect()
+
+
+def test_shared_dir_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from corvane.plans.stages import shared_dir
+
+    unset = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="yarn", getConf=lambda: unset))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
 
 
 def test_stage(spark, tmp_path):
@@ -206,6 +255,19 @@ def test_stage(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_scratch_is_released(spark):
+    from corvane.plans.stages import released, scratch_path
+
+    keep = []
+    with released(keep):
+        gone, stays = scratch_path(spark, "a"), scratch_path(spark, "b")
+        keep.append(stays)
+        for path in (gone, stays):
+            spark.range(1).write.parquet(path)
+        assert files.existing(spark, [gone, stays]) == [gone, stays]
+    assert files.existing(spark, [gone, stays]) == [stays]
+
+
 def test_running_rates(spark, tmp_path):
     from corvane.streaming.preference import running_rates
 
