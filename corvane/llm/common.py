@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import json
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+from corvane.plans.stages import scratch_path
+
 _shipped: set[str] = set()
 
 
@@ -30,43 +28,12 @@ def ship(spark: SparkSession) -> None:
         sc.addPyFile(str(archive))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    ship(spark)
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="corvane-")
-        sc.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder; removed when the driver ends."""
-    path = f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    _written.append((spark, path))
-    return path
-
-
-def release(spark: SparkSession, path: str) -> None:
-    """Remove a path in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _release_all() -> None:
-    for spark, path in _written:
-        with contextlib.suppress(Exception):  # the session may have ended before
-            release(spark, path)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: its lineage ends there, and a lost executor costs
-    no recomputation of what came before. Spark then knows its size, so joins with it are planned by that size."""
+    no recomputation of what came before. Spark then knows its size, so joins with it are planned by that size. The
+    table is removed by stages.released(), or when the driver ends."""
     spark = df.sparkSession
+    ship(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,6 +1,7 @@
 """Near duplicates and nearest neighbours against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import ann, embedding_dedup
@@ -90,6 +91,61 @@ def test_nearest_recall(spark):
         assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
 
 
+def spread(seed, n, dim=32):
+    """Vectors as models give them: a falling spectrum, clusters, norms that differ."""
+    rng = np.random.default_rng(seed)
+    scales = np.arange(1, dim + 1) ** -1.2
+    centres = rng.standard_normal((60, dim)) * scales * 3
+    data = centres[rng.integers(0, 60, n)] + rng.standard_normal((n, dim)) * scales
+    return (data * rng.uniform(0.5, 1.5, n)[:, None]).astype(np.float32)
+
+
+def test_windows_prune_where_vectors_have_structure(spark):
+    data = spread(8, 12000)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(data)], SCHEMA)
+    rows = ann.searchable(df, F.col("vec_id") % 50 == 0)
+    fitted = ann.calibrated(rows, 20, range_rows=64)
+    assert fitted[32].share() < 0.25, fitted[32].share()
+    got = {}
+    for r in ann.search(rows, fitted, 20, 64, 50).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = nearest(data, np.arange(len(data)), range(0, len(data), 50), 20)
+    assert got.keys() == want.keys()
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_nearest_recall_on_the_tables(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, top=20, range_rows=100).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    table = df.orderBy("vec_id").toPandas()
+    want = nearest(np.stack(table["embedding"].to_numpy()), table["vec_id"].to_numpy(), np.flatnonzero(table["vec_id"] % 50 == 0), 20)
+    assert got.keys() == want.keys()
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
+
+
+def test_the_added_component_makes_products_distances():
+    rng = np.random.default_rng(9)
+    rows, queries = rng.standard_normal((200, 6)) * rng.uniform(0.1, 9, 200)[:, None], rng.standard_normal((30, 6))
+    index = ann.fit(rows, 200, 1, (3,), 4, 50, 1)
+    x, q = index.augmented(rows, False), index.augmented(queries, True)
+    apart = ((q[:, None] - x[None]) ** 2).sum(axis=2)
+    assert (np.argsort(apart, axis=1) == np.argsort(-(queries @ rows.T), axis=1)).all()
+
+
+def test_many_queries_and_rows_of_one_key(spark):
+    """Equal keys in numbers beyond the bounds of a task are dealt into parts, and nothing is lost."""
+    df = spark.range(900).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), (F.col("id") % 3).cast("double")).alias("embedding"))
+    got = ann.nearest(df, F.col("vec_id") % 2 == 0, top=4, range_rows=20, most_queries=7).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("l")).collect()
+    best = [2, 5, 8, 11, 14]
+    assert len(got) == 450
+    for r in got:
+        if r["query_id"] % 3:
+            assert [x["vec_id"] for x in r["l"]] == [b for b in best if b != r["query_id"]][:4]
+
+
 def test_nearest_is_exact_in_one_range(spark):
     data = np.repeat(clustered(5, 40)[0], 3, axis=0)
     ids = np.random.default_rng(6).permutation(120)
