@@ -9,8 +9,8 @@ orderings merge, and their rows are reranked by the exact inner product in doubl
 
 How many orderings, and how wide the windows, is calibrated against brute force: `asked` of the queries are compared
 with all rows (in blocks, each task keeping the best of its own), which gives their true neighbours and how many ranges
-away these lie in each ordering; those orderings, two at least, and that width are taken which give `recall` with the
-fewest rows. So windows are as narrow as the whole table's neighbours allow, not as a sample's. In many dimensions without
+away these lie in each ordering; those orderings, two at least, and that width are taken which give `recall` at the
+least cost in inner products and rows moved. So windows are as narrow as the whole table's neighbours allow, not as a sample's. In many dimensions without
 structure no ordering keeps neighbours together, and the windows come out wide; the result is then still right, at the
 cost of a search of blocks.
 """
@@ -119,10 +119,15 @@ def fit(sample: np.ndarray, rows: int, orders: int, dims: tuple[int, ...], bits:
     return index
 
 
-def _calibrate(index: Index, apart: np.ndarray, recall: float) -> None:
-    """Keep the orderings, two at least, and set the width that give the recall with the fewest rows. apart: for each
-    true neighbour, how many ranges it lies away in each ordering. For each width orderings are taken greedily, the one
-    that reaches most of the neighbours not reached yet first."""
+#: About how many inner products take as long as moving a row to another task does.
+MOVED = 200
+
+
+def _calibrate(index: Index, apart: np.ndarray, recall: float, rows: int, queries: int) -> None:
+    """Keep the orderings, two at least, and set the width that give the recall at the least cost: inner products, and
+    rows and queries moved to the ranges. apart: for each true neighbour, how many ranges it lies away in each
+    ordering. For each width orderings are taken greedily, the one that reaches most of the neighbours not reached yet
+    first."""
     several, count = min(2, len(index.turns)), max(len(r) + 1 for r in index.ranges)
     widths = sorted({min(count, round(1.25**k) - 1) for k in range(200)})
     best = None
@@ -135,7 +140,8 @@ def _calibrate(index: Index, apart: np.ndarray, recall: float) -> None:
             missed &= ~near[:, taken[-1]]
         if len(apart) and missed.mean() > 1 - recall:
             continue
-        cost = index.share(taken, width)
+        moved = rows * len(taken) + queries * sum(min(2 * width + 1, len(index.ranges[k]) + 1) for k in taken)
+        cost = queries * rows * index.share(taken, width) + MOVED * moved
         if best is None or cost < best[0]:
             best = cost, taken, width
     _, taken, index.width = best
@@ -182,7 +188,9 @@ def true_places(rows: DataFrame, fitted: dict[int, Index], asked: dict[int, tupl
 
 def calibrated(rows: DataFrame, top: int = 20, orders: int = 16, dims: tuple[int, ...] = (2, 3, 4, 6), bits: int = 8, range_rows: int = 640, sample: int = 8192, asked: int = 256, recall: float = 0.95, seed: int = 11) -> dict[int, Index]:
     """An index for each vector length of rows (a written table: dim, rid, embedding, asks)."""
-    totals = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    counted = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("asks").alias("queries")).collect()  # a row per length
+    totals = {r["dim"]: r["n"] for r in counted}
+    queries_of = {r["dim"]: r["queries"] for r in counted}
     drawn = lambda of, many: of.withColumn("_h", F.xxhash64("rid", F.lit(seed))).withColumn("_n", F.row_number().over(Window.partitionBy("dim", F.spark_partition_id()).orderBy("_h"))).where(F.col("_n") <= many)
     some, queries = drawn(rows.select("dim", "embedding", "rid"), sample), drawn(rows.where("asks").select("dim", "embedding", "rid"), asked)
     fitted, tried = {}, {}
@@ -196,7 +204,7 @@ def calibrated(rows: DataFrame, top: int = 20, orders: int = 16, dims: tuple[int
     for dim, index in fitted.items():
         own = index.places(tried[dim][1], True) if len(tried[dim][0]) else None
         apart = [np.abs(np.array(r["places"]) - own[r["q"]]) for r in near if r["dim"] == dim]
-        _calibrate(index, np.array(apart).reshape(len(apart), orders), recall)
+        _calibrate(index, np.array(apart).reshape(len(apart), orders), recall, totals[dim], queries_of[dim])
     return fitted
 
 

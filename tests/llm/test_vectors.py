@@ -101,17 +101,19 @@ def spread(seed, n, dim=32):
 
 
 def test_windows_prune_where_vectors_have_structure(spark):
+    """With as many queries as make it worth its while, a query meets less than a quarter of the rows."""
     data = spread(8, 12000)
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(data)], SCHEMA)
-    rows = ann.searchable(df, F.col("vec_id") % 50 == 0)
+    rows = ann.searchable(df, F.col("vec_id") % 2 == 0)
     fitted = ann.calibrated(rows, 20, range_rows=64)
     assert fitted[32].share() < 0.25, fitted[32].share()
     got = {}
-    for r in ann.search(rows, fitted, 20, 64, 50).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append(r["vec_id"])
-    want = nearest(data, np.arange(len(data)), range(0, len(data), 50), 20)
-    assert got.keys() == want.keys()
-    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
+    for r in ann.search(rows, fitted, 20, 64, 50).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = range(0, len(data), 50)
+    assert len(got) == 6000
+    want = nearest(data, np.arange(len(data)), asked, 20)
+    assert np.mean([len(got[q] & set(want[q])) / 20 for q in asked]) >= 0.9
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
