@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corvane.plans.stages import scratch_path
 
 _shipped: set[str] = set()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,7 +36,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    # What the plan has shuffled goes from the disks with its end, and not when the driver next collects garbage.
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

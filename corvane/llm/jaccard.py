@@ -17,17 +17,19 @@ components are formed. After that only pairs across components count: in rounds,
 other components whose sketches are nearest, as far as sketches allow a link, and of these a bucket emits those that
 join its components. Pairs found to link merge components; rounds end when no pair is left that might link and has not
 been verified, so none is lost. Pairs whose sketches are too many bits apart are dropped before their sets are fetched.
+Buckets of frequent keys, as a large group of near copies has for each of its lanes, are dealt over several tasks in
+every step: each part has a least member of its own, and these are joined by the least of the bucket.
 """
 
 from __future__ import annotations
 
-import gc
 from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize
@@ -91,11 +93,32 @@ def lane_keys(elements: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def node_of(elements: np.ndarray) -> int:
-    """A set's number: equal sets have the same, others another but for one chance in 2^64 a pair."""
+def _signed(x: np.uint64) -> int:
+    return int(np.array([x], dtype=np.uint64).view(np.int64)[0])
+
+
+def check_of(elements: np.ndarray) -> int:
+    """64 bits more of a set, drawn apart from those of its node."""
     if not len(elements):
         return 0
-    return int(mixed(np.array([np.bitwise_xor.reduce(mixed(elements)) + _U(len(elements))], dtype=np.uint64)).view(np.int64)[0])
+    return _signed(mixed(np.array([np.bitwise_xor.reduce(mixed(elements ^ _U(0x5851F42D4C957F2D))) ^ _U(len(elements))], dtype=np.uint64))[0])
+
+
+@dataclass(frozen=True)
+class Nodes:
+    """Numbers of sets, equal for equal sets. Where different sets would share a number, told apart by 64 bits more,
+    that number is among `conflicts`, and its sets get numbers by both. (bits: of the first number; less in tests.)"""
+
+    conflicts: frozenset[int] = frozenset()
+    bits: int = 64
+
+    def of(self, elements: np.ndarray) -> int:
+        if not len(elements):
+            return 0
+        node = _signed(mixed(np.array([np.bitwise_xor.reduce(mixed(elements)) + _U(len(elements))], dtype=np.uint64))[0] >> _U(64 - self.bits))
+        while node in self.conflicts:
+            node = _signed(mixed(np.array([np.int64(node).astype(np.uint64) ^ np.int64(check_of(elements)).astype(np.uint64)], dtype=np.uint64))[0])
+        return node
 
 
 def parity_bits(elements: np.ndarray) -> bytes:
@@ -142,24 +165,37 @@ class _Seen:
         return True
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (the set's size), node and bits (the sketch) of each row; of equal sets in a task, the first has bits."""
+def sketches(docs: DataFrame, k: int, numbers: Nodes = Nodes()) -> DataFrame:
+    """doc_id, n (the set's size), node, check (64 bits more of the set) and bits (the sketch) of each row; of equal sets
+    in a task, the first has bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for batch in batches:
             rows = []
             for doc_id, elements in _sets(batch, k):
-                node = node_of(elements)
-                rows.append((doc_id, len(elements), node, parity_bits(elements) if len(elements) and seen.first(node) else None))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                node = numbers.of(elements)
+                rows.append((doc_id, len(elements), node, check_of(elements), parity_bits(elements) if len(elements) and seen.first(node) else None))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n", "node", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n", "node", "check", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, check long, bits binary")
 
 
-def keyed(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
+def numbered(docs: DataFrame, k: int, bits: int = 64) -> tuple[DataFrame, Nodes]:
+    """sketches() as a written table, with numbers that no two sets share (to 128 bits). Conflicts are as good as none
+    up to billions of different sets, and m^2 / 2^65 of m sets beyond; each round of them is one more pass."""
+    numbers = Nodes(bits=bits)
+    while True:
+        drawn = materialize(sketches(docs, k, numbers), "sketches")
+        several = drawn.groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").select("node").collect()
+        if not several:
+            return drawn, numbers
+        numbers = Nodes(numbers.conflicts | {r["node"] for r in several}, bits)
+
+
+def keyed(docs: DataFrame, k: int, per_cent: int, numbers: Nodes = Nodes()) -> DataFrame:
     """The rows (key, node) of all sets; those of equal sets in a task once. Keys are many and used once, so they are
     made while they are shuffled and never written."""
 
@@ -170,7 +206,7 @@ def keyed(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
         size = 0
         for batch in batches:
             for _, elements in _sets(batch, k):
-                node = node_of(elements)
+                node = numbers.of(elements)
                 if len(elements) and seen.first(node):
                     keys.append(lane_keys(elements, bands))
                     nodes.append(node)
@@ -205,13 +241,15 @@ def possible(pairs: DataFrame, sketched: DataFrame, per_cent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def across_components(rows: DataFrame, sketched: DataFrame, tried: DataFrame, per_cent: int, each: int = 1, block: int = 2048) -> DataFrame:
+def across_components(rows: DataFrame, sketched: DataFrame, tried: DataFrame, per_cent: int, each: int = 1, block: int = 2048, sizes: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of nodes in different components that share a key and may link by size and sketch, and are not in
     tried (node, tried: nodes): of each node at most `each`, the nearest by sketch; with `each` of 1, only as many as
     join the components of a bucket. A key comes out, in a row of its own, if its bucket has such a pair. rows: key,
-    node, component; sketched: node, n, bits. Buckets stream through tasks; those of more than `block` rows are dealt
+    node, component; sketched: node, n, bits; sizes (key, size), if known: other keys are left out. Buckets stream through tasks; those of more than `block` rows are dealt
     into blocks, and each pair of blocks is a bucket of its own. Sketches are shuffled once, to the buckets."""
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")) if sizes is None else sizes
+    blocks = sizes.select("key", F.ceil(F.col("size") / block).cast("long").alias("blocks"))
+    # This join is followed by one on nodes, so nothing keeps Spark from splitting the rows of a frequent key.
     dealt = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tiles = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "component")
     tiles = tiles.join(sketched, "node").join(tried, "node", "left").select("key", "lo", "hi", "node", "component", "n", "bits", "tried")
@@ -282,7 +320,7 @@ def _folded(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def fetched_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, known: DataFrame | None = None) -> DataFrame:
+def fetched_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, known: DataFrame | None = None, numbers: Nodes = Nodes()) -> DataFrame:
     """node and elements (little-endian 64-bit, ascending) of the nodes in pairs (a, b), from the texts; those in
     known are taken from there. nodes: doc_id and node of all texts."""
 
@@ -290,7 +328,7 @@ def fetched_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, kn
         for batch in batches:
             nodes, elements = [], []
             for _, e in _sets(batch, k):
-                nodes.append(node_of(e))
+                nodes.append(numbers.of(e))
                 elements.append(e.tobytes())
                 if len(nodes) >= 256:
                     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(elements, pa.binary())], names=["node", "elements"])
@@ -332,35 +370,29 @@ def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _forget(spark: SparkSession) -> None:
-    """Let the JVM see that shuffles of finished steps are unused, so that their files go from the disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def linked_nodes(docs: DataFrame, members: DataFrame, sketched: DataFrame, nodes: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """(node, component) of the nodes that link. members (key, node): buckets with more nodes than one; sketched
-    (node, n, bits): their sketches."""
-    spark = docs.sparkSession
-    led = members.withColumn("b", F.min("node").over(Window.partitionBy("key"))).where("node <> b")
-    near = materialize(possible(led.select(F.col("node").alias("a"), "b").distinct(), sketched, per_cent), "stars")
-    sets = fetched_sets(docs, nodes, near, k)
-    _forget(spark)
+def linked_nodes(docs: DataFrame, members: DataFrame, sketched: DataFrame, nodes: DataFrame, k: int, per_cent: int, numbers: Nodes = Nodes()) -> DataFrame:
+    """(node, component) of the nodes that link. members (key, salt, node): buckets with more nodes than one, those of
+    frequent keys in parts with salts from 1 on; sketched (node, n, bits): their sketches."""
+    led = members.withColumn("b", F.min("node").over(Window.partitionBy("key", "salt")))
+    leaders = led.where("salt > 0").select("key", F.col("b").alias("a")).distinct()
+    first = leaders.groupBy("key").agg(F.min("a").alias("b"))
+    stars = led.select(F.col("node").alias("a"), "b").unionByName(leaders.join(first, "key").select("a", "b")).where("a <> b").distinct()
+    near = materialize(possible(stars, sketched, per_cent), "stars")
+    sets = fetched_sets(docs, nodes, near, k, None, numbers)
     links = materialize(verified(near, sets, per_cent), "links")
     tried = near.select("a", "b")
     done, each = materialize(components(links), "components"), 1
-    open_rows = led.select("key", "node")  # pairs with the least member are tried
+    open_rows = materialize(led.where("node <> b or salt > 0").select("key", "node"), "open")  # pairs with the least member of a whole bucket are tried
     while True:
-        _forget(spark)
         placed = open_rows.join(done, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
         both = tried.unionByName(tried.select(F.col("a").alias("b"), F.col("b").alias("a")))
-        both = both.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tried"))  # few: `each` a round and bucket
-        found = materialize(across_components(placed.join(several, "key", "left_semi"), sketched, both, per_cent, each), "across")
+        both = both.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tried"))  # at most `each` a round and bucket
+        found = materialize(across_components(placed, sketched, both, per_cent, each, sizes=several), "across")
         pairs = materialize(found.where("a is not null").select("a", "b").distinct(), "pairs")
         if pairs.isEmpty():
             return done
-        sets = fetched_sets(docs, nodes, pairs, k, sets)
+        sets = fetched_sets(docs, nodes, pairs, k, sets, numbers)
         more = materialize(verified(pairs, sets, per_cent), "links")
         tried = tried.unionByName(pairs)
         each *= 4
@@ -371,50 +403,62 @@ def linked_nodes(docs: DataFrame, members: DataFrame, sketched: DataFrame, nodes
             done = materialize(components(links), "components")
 
 
-def _buckets(rows: DataFrame, shared: list[int]) -> DataFrame:
-    """The distinct rows (key, node) of keys that several nodes have, without each node's shared - 1 commonest keys
-    of each band."""
-    key = Window.partitionBy("key")
-    several = lambda df: df.withColumn("lo", F.min("node").over(key)).withColumn("hi", F.max("node").over(key)).where("lo <> hi")
-    common = several(rows.withColumn("rows", F.count("*").over(key))).groupBy("key", "node").agg(F.max("rows").alias("rows"))
+def frequent_keys(docs: DataFrame, k: int, per_cent: int, numbers: Nodes, share: float = 1 / 16, least: int = 64, part: int = 512) -> DataFrame:
+    """Keys that very many different sets have: key, common (about how many) and parts (to split them into, about
+    `part` sets each). They are found in a sample of the texts, which decides how rows are dealt to tasks and in which
+    order lanes are left out, and never which pairs are found."""
+    some = keyed(docs.sample(share, 5), k, per_cent, numbers).distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    common = F.ceil(F.col("n") / share).cast("long")
+    return materialize(some.select("key", common.alias("common"), F.ceil(common / part).cast("long").alias("parts")), "frequent")
+
+
+def _buckets(rows: DataFrame, shared: list[int], frequent: DataFrame) -> DataFrame:
+    """The distinct rows (key, salt, node) of keys that several nodes have, without each node's shared - 1 commonest
+    keys of each band. Rows of a frequent key are dealt over its parts, with salts from 1 on."""
+    salted = rows.join(frequent.select("key", "parts"), "key", "left").select("key", "node", F.coalesce(1 + F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0)).cast("int").alias("salt"))
+    key = Window.partitionBy("key", "salt")
+    several = lambda df: df.withColumn("lo", F.min("node").over(key)).withColumn("hi", F.max("node").over(key)).where("lo <> hi or salt > 0")
+    common = several(salted.withColumn("rows", F.count("*").over(key))).groupBy("key", "salt", "node").agg(F.max("rows").alias("rows"))
+    common = common.join(frequent.select("key", "common"), "key", "left").withColumn("rows", F.coalesce("common", "rows"))  # the same for all sets with the key
     band = F.col("key").bitwiseAND(F.lit(255)).cast("int")
     ranked = common.withColumn("band", band).withColumn("rank", F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("rows"), "key")))
-    return several(ranked.where(F.col("rank") >= F.element_at(F.lit(shared), F.col("band") + 1)).select("key", "node")).select("key", "node")
+    return several(ranked.where(F.col("rank") >= F.element_at(F.lit(shared), F.col("band") + 1)).select("key", "salt", "node")).select("key", "salt", "node")
 
 
-def _joined(docs: DataFrame, k: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
-    """nodes (doc_id, n, node) of all rows, and (node, component_id) of those with elements."""
-    spark = docs.sparkSession
-    drawn = materialize(sketches(docs, k), "sketches")
+def _joined(docs: DataFrame, k: int, per_cent: int, bits: int = 64) -> tuple[DataFrame, DataFrame, Nodes]:
+    """nodes (doc_id, n, node) of all rows, (node, component, component_id) of those with elements, and the numbers."""
+    drawn, numbers = numbered(docs, k, bits)
     nodes = drawn.select("doc_id", "n", "node")
-    members = materialize(_buckets(keyed(docs, k, per_cent), Bands(per_cent).shared()), "members")
+    frequent = frequent_keys(docs, k, per_cent, numbers)
+    members = materialize(_buckets(keyed(docs, k, per_cent, numbers), Bands(per_cent).shared(), frequent), "members")
     there = members.select("node").distinct()
     sketched = materialize(drawn.where("bits is not null").select("node", "n", "bits").join(there, "node", "left_semi").dropDuplicates(["node"]), "bits")
-    _forget(spark)
-    linked = linked_nodes(docs, members, sketched, nodes, k, per_cent)
+    linked = linked_nodes(docs, members, sketched, nodes, k, per_cent, numbers)
     classes = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     classes = materialize(classes.join(linked, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component")), "classes")
     firsts = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return nodes, materialize(classes.join(firsts, "component").select("node", "component", "component_id"), "labels")
+    return nodes, materialize(classes.join(firsts, "component").select("node", "component", "component_id"), "labels"), numbers
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, per_cent: int = 80, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs.
 
     A set: the distinct runs of k words of the whole text, A-Z lower-cased; with fewer words, all of them as one;
     null texts and texts without words have none, link with nothing and are their own component. Sets link when
     100 * intersection >= per_cent * union. component_id: the least doc_id that links reach, itself included; a null
     doc_id counts only where there is no other. Repeated rows come out once each. Other columns play no part.
+    Empty input: no rows. bits: see Nodes.
     """
-    nodes, labels = _joined(docs, k, per_cent)
+    nodes, labels, _ = _joined(docs, k, per_cent, bits)
     filled = nodes.where("n > 0").join(labels, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return filled.unionByName(nodes.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
     """The rows of docs without near duplicates: of each component, one row with its least doc_id; all rows without
-    words. A row with a null doc_id stays only where its component has no other. All columns are kept."""
-    nodes, labels = _joined(docs, k, per_cent)
+    words. A row with a null doc_id stays only where its component has no other. All columns are kept. Empty input: no
+    rows."""
+    nodes, labels, numbers = _joined(docs, k, per_cent)
     placed = nodes.where("n > 0").join(labels, "node")
     kept = materialize(placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component", "doc_id").agg(F.min("node").alias("node")).select("doc_id", "node"), "kept")
     # Rows whose doc_id no other row has are told by it; the others, by doc_id and set.
@@ -431,7 +475,7 @@ def one_of_each(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = [columns.index("doc_id"), columns.index("text")]
         for batch in batches:
-            found = [(len(e), node_of(e)) for _, e in _sets(batch.select(at), k)]
+            found = [(len(e), numbers.of(e)) for _, e in _sets(batch.select(at), k)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=[*batch.schema.names, the_n, the_node])
 
     known = again.mapInArrow(run, again.select("*", F.lit(0).cast("long").alias(the_n), F.lit(0).cast("long").alias(the_node)).schema)

@@ -58,6 +58,38 @@ def test_against_brute_force(spark, seed, k, per_cent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, k, per_cent)
 
 
+def test_sets_that_share_a_number(spark):
+    """Numbers of 5 bits are shared by many sets; 64 bits more tell them apart, and the result is the same."""
+    rows = near_copies(4, 200)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, bits=5).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 4, 85)
+    _, numbers = jaccard.numbered(spark.createDataFrame(rows, "doc_id long, text string"), 4, 5)
+    assert len(numbers.conflicts) > 10
+
+
+def test_frequent_keys_are_split(spark, monkeypatch):
+    """A large group of near copies and many others: its buckets are dealt over parts, and no link is lost."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(120)]
+    rows = near_copies(5, 250)
+    for i in range(250, 700):
+        own = list(words)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4])):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    plain = jaccard.frequent_keys
+    made = []
+
+    def eager(*a):
+        made.append(plain(*a, share=1.0, least=30, part=16))
+        return made[-1]
+
+    monkeypatch.setattr(jaccard, "frequent_keys", eager)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 4, 85).collect()
+    assert made[0].agg(F.max("parts")).first()[0] > 10
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 4, 85)
+
+
 def test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = jaccard.jaccard_components(docs, 4, 85).collect()
