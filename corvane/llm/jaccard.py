@@ -322,7 +322,7 @@ def _folded(x: np.ndarray, width: int) -> np.ndarray:
 
 def fetched_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, known: DataFrame | None = None, numbers: Nodes = Nodes()) -> DataFrame:
     """node and elements (little-endian 64-bit, ascending) of the nodes in pairs (a, b), from the texts; those in
-    known are taken from there. nodes: doc_id and node of all texts."""
+    known are taken from there. nodes: doc_id and node, a row per node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,7 +339,7 @@ def fetched_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, kn
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     if known is not None:
         ends = ends.join(known, "node", "left_anti")
-    wanted = materialize(nodes.join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
+    wanted = materialize(nodes.select("node", "doc_id").join(ends, "node", "left_semi"), "wanted")
     if known is not None and wanted.isEmpty():
         return known
     ids = wanted.select(F.col("doc_id").alias("_wanted")).distinct()
@@ -433,11 +433,11 @@ def _joined(docs: DataFrame, k: int, per_cent: int, bits: int = 64) -> tuple[Dat
     members = materialize(_buckets(keyed(docs, k, per_cent, numbers), Bands(per_cent).shared(), frequent), "members")
     there = members.select("node").distinct()
     sketched = materialize(drawn.where("bits is not null").select("node", "n", "bits").join(there, "node", "left_semi").dropDuplicates(["node"]), "bits")
-    linked = linked_nodes(docs, members, sketched, nodes, k, per_cent, numbers)
-    classes = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    classes = materialize(classes.join(linked, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component")), "classes")
-    firsts = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return nodes, materialize(classes.join(firsts, "component").select("node", "component", "component_id"), "labels"), numbers
+    firsts = materialize(nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "firsts")
+    linked = linked_nodes(docs, members, sketched, firsts, k, per_cent, numbers)
+    classes = materialize(firsts.join(linked, "node", "left").select("node", F.col("doc_id").alias("first_id"), F.coalesce("component", "node").alias("component")), "classes")
+    least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    return nodes, materialize(classes.join(least, "component").select("node", "component", "component_id"), "labels"), numbers
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, per_cent: int = 80, bits: int = 64) -> DataFrame:
