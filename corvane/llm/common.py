@@ -29,6 +29,14 @@ def ship(spark: SparkSession) -> None:
         sc.addPyFile(str(archive))
 
 
+def _tasks(df: DataFrame, per_task: int = 4 << 20) -> int:
+    """How many tasks, and so files, a plan is worth: one for so many bytes of what it reads, two a core at least.
+    Sources of unknown size count as very large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return min(1 << 30, max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // per_task)))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: its lineage ends there, and a lost executor costs
     no recomputation of what came before. Spark then knows its size, so joins with it are planned by that size. The
@@ -40,7 +48,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.coalesce(_tasks(df)).write.parquet(path)  # a table of few bytes has few files, however many partitions its plan has
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

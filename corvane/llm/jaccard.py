@@ -409,7 +409,8 @@ def frequent_keys(docs: DataFrame, k: int, per_cent: int, numbers: Nodes, share:
     order lanes are left out, and never which pairs are found."""
     some = keyed(docs.sample(share, 5), k, per_cent, numbers).distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     common = F.ceil(F.col("n") / share).cast("long")
-    return materialize(some.select("key", common.alias("common"), F.ceil(common / part).cast("long").alias("parts")), "frequent")
+    parts = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(common / part, F.lit(1.0))))).cast("long")  # powers of two: parts of one key lie in those of another
+    return materialize(some.select("key", common.alias("common"), parts.alias("parts")), "frequent")
 
 
 def _buckets(rows: DataFrame, shared: list[int], frequent: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,7 +134,7 @@ _OUT_ROWS, _OUT_BYTES = 4096, 1 << 20
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = True) -> DataFrame:
     """Pieces of each row of docs: doc_id, piece, start, length, ids_crc32 and, with keep_ids, ids (little-endian
-    32-bit); part (the task) and nth (the place among the task's pieces of that length, from 0). A document is its ids
+    32-bit); part (of docs) and nth (the place among the part's pieces of that length, from 0). A document is its ids
     and end_id; one longer than capacity is cut from its end into pieces of capacity, so that its first piece may be
     shorter. Null texts are empty. Columns beside doc_id and text play no part."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", part int, nth long"
@@ -146,9 +145,10 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: i
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part_id = loaded(path), TaskContext.get().partitionId()
+        bpe = loaded(path)
         seen, rows, size = [0] * (capacity + 1), [], 0
         for batch in batches:
+            part_id = batch.column(2)[0].as_py() if len(batch) else 0  # a run has one part
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 doc = doc_id.as_py()
                 ids = np.array([*bpe.encode(text.as_py() or ""), end_id], dtype="<u4")
@@ -165,7 +165,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: i
         if rows:
             yield written(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, schema)
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
@@ -176,13 +176,13 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     spark = pieces.sparkSession
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = materialize(counts.select("length", "part", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "piece-counts")
-    histogram = {r["length"]: r["n"] for r in starts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most
+    starts = counts.select("length", "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     histogram.pop(capacity, None)
     plan = small_table(spark, places(solve(histogram, capacity)), "length bigint, `from` bigint, upto bigint, bin bigint, each bigint, at bigint")
     plan = plan.select(F.col("length").alias("_length"), *[F.col(c).alias(f"_{c}") for c in ("from", "upto", "bin", "each", "at")])
     rank = F.col("_before") + F.col("nth")
-    ranked = pieces.join(starts.drop("_n"), ["length", "part"]).withColumn("_rank", rank)
+    ranked = pieces.join(starts, ["length", "part"]).withColumn("_rank", rank)
     kept = [c for c in pieces.columns if c not in ("part", "nth")]
     here = (F.col("length") == F.col("_length")) & (F.col("_from") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto"))
     placed = ranked.join(F.broadcast(plan), here, "left").withColumn("_k", F.col("_rank") - F.col("_from"))  # left: full pieces have no plan
