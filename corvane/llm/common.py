@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import tempfile
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,6 +74,23 @@ def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
 
 
+def driver_table(spark: SparkSession, rows: Iterable[dict], schema: str, name: str) -> DataFrame:
+    """Rows the driver holds already, written to the shared folder: Spark knows the table's size and plans joins by it,
+    and plans stay small."""
+    ship(spark)
+    path = scratch_path(spark, name)
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/rows.json")
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        lines = iter(rows)
+        while some := list(itertools.islice(lines, 4096)):
+            out.write(bytearray("".join(json.dumps(r) + "\n" for r in some).encode()))
+    finally:
+        out.close()
+    return spark.read.schema(schema).json(path)
+
+
 def row_number_key(*salt: int) -> Column:
     """A pseudo-random 64-bit key from a row's number, for permutations and salts."""
     return F.xxhash64(*[F.lit(s) for s in salt], F.col("rid"))

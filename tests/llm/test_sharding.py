@@ -1,9 +1,12 @@
 """The law of rows, exactness, and the distribution of the counts."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from corvane.llm import sharding
 
 from .fixtures import documents, empty
@@ -62,3 +65,39 @@ def test_buckets(spark):
 def test_native(spark):
     plan = sharding.shard_documents(documents(spark))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+@pytest.mark.parametrize(("good", "bad", "drawn"), [(3, 4, 3), (10, 90, 20), (1000, 1, 500), (60, 40, 99), (5, 5, 10)])
+def test_hypergeometric_law(good, bad, drawn):
+    """Frequencies of draws against exact probabilities, and the mode's probability against whole-number arithmetic."""
+    rng, n = random.Random(good), 20000
+    seen = Counter(sharding.hypergeometric(rng, good, bad, drawn) for _ in range(n))
+    assert min(seen) >= max(0, drawn - bad) and max(seen) <= min(good, drawn)
+    for x in range(min(good, drawn) + 1):
+        p = math.comb(good, x) * math.comb(bad, drawn - x) / math.comb(good + bad, drawn) if drawn - x <= bad else 0.0
+        assert abs(seen[x] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 2 / n
+
+
+def test_probabilities_stay_precise_for_large_counts():
+    for n in (10**6, 10**8):
+        x = n // 2 + 77
+        exact = 1 / (2 * math.pi * x * (n - x) / n) ** 0.5  # the law's leading factor; what is left is of order one
+        got = math.exp(sharding._log_binomial(x, n, 0.5, 0.5))
+        want = exact * math.exp(-(2 * 77**2) / n + 1 / (12 * n) - 1 / (12 * x) - 1 / (12 * (n - x)))
+        assert math.isclose(got, want, rel_tol=1e-9)
+    rng = random.Random(3)
+    draws = [sharding.hypergeometric(rng, 10**10, 10**10, 10**6) for _ in range(300)]
+    assert abs(sum(draws) / 300 - 5 * 10**5) < 5 * 500 / math.sqrt(300)
+
+
+def test_long_texts_and_many_partitions(spark):
+    texts = ["x" * 3_000_000, "é" * 1000] + ["short"] * 20000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
+    rows = sharding.shard_documents(docs).collect()
+    slots = {}
+    for r in rows:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    sizes = [len(s) for s in slots.values()]
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(texts))) and max(sizes) - min(sizes) <= 1 and len(slots) == 16
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert {r["doc_id"]: r["size"] for r in rows if r["doc_id"] < 2} == {0: 3_000_001, 1: 2001}
