@@ -54,6 +54,34 @@ def test_near_duplicates(spark):
         assert got == {i: (n[i], part[i], part[i] == i) for i in range(len(data))} and n.max() > 2
 
 
+def test_near_duplicates_left_open(spark):
+    """Many pairs within the error bounds of the threshold, and copies: decided from the vectors, pair by pair or, with
+    a small bound on the pairs that a tile may leave open, tile by tile."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal(24)
+    side = rng.standard_normal((150, 24))
+    side -= side @ base[:, None] / (base @ base) * base
+    side *= np.linalg.norm(base) / np.linalg.norm(side, axis=1, keepdims=True)
+    angle = np.arccos(0.93) + rng.uniform(-0.004, 0.004, 150)
+    data = np.concatenate(([base], np.cos(angle)[:, None] * base + np.sin(angle)[:, None] * side)).astype(np.float32)
+    data = np.concatenate((data, data[:40], data[:1].repeat(30, axis=0)))
+    labels = np.ones(len(data), dtype=int)
+    n, part = brute(data, labels, 0.93)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(data)], SCHEMA)
+    for most_open in (1 << 15, 10):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, 0.93, 64, most_open).collect()}
+        assert got == {i: (n[i], part[i]) for i in range(len(data))}
+
+
+def test_near_duplicates_on_the_tables(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    table = df.orderBy("vec_id").toPandas()
+    n, part = brute(np.stack(table["embedding"].to_numpy()), table["label"].to_numpy(), 0.93)
+    ids = table["vec_id"].to_numpy()
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, 0.93, 100).collect()}
+    assert got == {int(ids[i]): (n[i], int(ids[part[i]])) for i in range(len(ids))}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     df = spark.createDataFrame(ODD, SCHEMA)
     got = sorted((tuple(r) for r in embedding_dedup.near_duplicates(df, block=2).collect()), key=str)
