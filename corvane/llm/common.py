@@ -39,13 +39,15 @@ def _tasks(df: DataFrame, per_task: int = 4 << 20) -> int:
     return min(1 << 30, max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // per_task)))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: its lineage ends there, and a lost executor costs
     no recomputation of what came before. Spark then knows its size, so joins with it are planned by that size. The
-    table is removed by stages.released(), or when the driver ends."""
+    table is removed by stages.released(), or when the driver ends; its path is added to paths."""
     spark = df.sparkSession
     ship(spark)
     path = scratch_path(spark, name)
+    if paths is not None:
+        paths.append(path)
     # What the plan has shuffled goes from the disks with its end, and not when the driver next collects garbage.
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")

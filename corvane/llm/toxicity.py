@@ -59,57 +59,75 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def telling(numbers: np.ndarray, row_of: np.ndarray, toxic: np.ndarray, least_z: float, least_texts: int) -> np.ndarray:
+#: What a feature has to show to get a weight: standard errors between the classes, and texts it is in.
+LEAST_Z, LEAST_TEXTS = 5.0, 4
+
+
+def telling(hot: np.ndarray, cold: np.ndarray, n_hot: int, n_cold: int, least_z: float, least_texts: int) -> np.ndarray:
     """Which features are in toxic and other texts at shares that differ by least_z standard errors or more, and in
-    so many texts."""
-    hot = np.bincount(numbers[toxic[row_of]], minlength=1 << BITS)
-    cold = np.bincount(numbers[~toxic[row_of]], minlength=1 << BITS)
-    n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
+    so many texts. hot, cold: how many texts of either kind, of n_hot and n_cold, have each."""
+    n1, n0 = max(1, n_hot), max(1, n_cold)
     p = (hot + cold) / (n1 + n0)
     z = (hot / n1 - cold / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
     return (np.abs(z) >= least_z) & (hot + cold >= least_texts)
 
 
-def fit(bounds: np.ndarray, numbers: np.ndarray, values: np.ndarray, grades: np.ndarray, shares: np.ndarray, rounds: int = 300, rate: float = 2.0, decay: float = 3e-5, least_z: float = 5.0, least_texts: int = 4) -> Ordinal:
+def _steps(gaps: np.ndarray) -> np.ndarray:
+    """The thresholds: the first gap, then exp of the others on top of each other, so that they stay in order."""
+    return gaps[0] + np.concatenate(([0.0], np.cumsum(np.exp(gaps[1:]))))
+
+
+def loss(w: np.ndarray, gaps: np.ndarray, row_of: np.ndarray, column: np.ndarray, values: np.ndarray, grades: np.ndarray, share: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+    """The mean negative log-likelihood of the grades with its penalty, and the gradient for (w, gaps). Entries: the
+    row, the column in w, and the value of each feature that is there."""
+    rows, top = np.arange(len(grades)), len(gaps)
+    s = np.bincount(row_of, weights=values * w[column], minlength=len(grades))
+    p = np.column_stack((np.ones(len(s)), 1 / (1 + np.exp(-np.clip(s[:, None] - _steps(gaps), -40, 40))), np.zeros(len(s))))
+    own = np.maximum(p[rows, grades] - p[rows, grades + 1], 1e-9)
+    slope = p * (1 - p)
+    upper, lower = slope[rows, grades], slope[rows, grades + 1]
+    d_s = -share * (upper - lower) / own
+    d_t = np.array([(share * (np.where(grades == k, upper, 0) - np.where(grades == k - 1, lower, 0)) / own).sum() for k in range(1, top + 1)])
+    d_gaps = np.array([d_t.sum(), *(d_t[k:].sum() * np.exp(gaps[k]) for k in range(1, top))])
+    d_w = np.bincount(column, weights=values * d_s[row_of], minlength=len(w)) + decay * w
+    return float(-(share * np.log(own)).sum() + decay / 2 * (w @ w)), np.concatenate((d_w, d_gaps))
+
+
+def fit(bounds: np.ndarray, numbers: np.ndarray, values: np.ndarray, grades: np.ndarray, shares: np.ndarray, rounds: int = 300, rate: float = 2.0, decay: float = 3e-5, least_z: float = LEAST_Z, least_texts: int = LEAST_TEXTS) -> Ordinal:
     """Maximum likelihood over the telling features with a penalty on the weights, by Adam. shares: how many texts
     each row stands for."""
     top = max(1, int(grades.max(initial=0)))
     row_of = np.repeat(np.arange(len(grades)), np.diff(bounds))
-    kept = telling(numbers, row_of, grades > 0, least_z, least_texts)[numbers]
+    hot, cold = (np.bincount(numbers[(grades > 0)[row_of] == kind], minlength=1 << BITS) for kind in (True, False))
+    kept = telling(hot, cold, int((grades > 0).sum()), int((grades == 0).sum()), least_z, least_texts)[numbers]
     numbers, values, row_of = numbers[kept], values[kept], row_of[kept]
     used, column = np.unique(numbers, return_inverse=True)
-    w, gaps = np.zeros(len(used)), np.full(top, 1.0)  # thresholds: the first, then exp of the steps
+    w, gaps = np.zeros(len(used)), np.full(top, 1.0)
     m, v = np.zeros(len(used) + top), np.zeros(len(used) + top)
     share = shares / shares.sum()
     for step in range(1, rounds + 1):
-        t = gaps[0] + np.concatenate(([0.0], np.cumsum(np.exp(gaps[1:]))))
-        s = np.bincount(row_of, weights=values * w[column], minlength=len(grades))
-        p = np.column_stack((np.ones(len(s)), 1 / (1 + np.exp(-np.clip(s[:, None] - t, -40, 40))), np.zeros(len(s))))
-        own = np.maximum(p[np.arange(len(s)), grades] - p[np.arange(len(s)), grades + 1], 1e-9)
-        slope = p * (1 - p)
-        upper, lower = slope[np.arange(len(s)), grades], slope[np.arange(len(s)), grades + 1]
-        d_s = -share * (upper - lower) / own
-        d_t = np.array([(share * (np.where(grades == k, upper, 0) - np.where(grades == k - 1, lower, 0)) / own).sum() for k in range(1, top + 1)])
-        d_gaps = np.array([d_t.sum(), *(d_t[k:].sum() * np.exp(gaps[k]) for k in range(1, top))])
-        grad = np.concatenate((np.bincount(column, weights=values * d_s[row_of], minlength=len(used)) + decay * w, d_gaps))
+        _, grad = loss(w, gaps, row_of, column, values, grades, share, decay)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) / np.sqrt(1 + step / 20)
         w -= move[: len(used)]
         gaps -= np.clip(move[len(used) :], -0.2, 0.2)
     weights = np.zeros(1 << BITS)
     weights[used] = w
-    return Ordinal(weights, gaps[0] + np.concatenate(([0.0], np.cumsum(np.exp(gaps[1:])))))
+    return Ordinal(weights, _steps(gaps))
+
+
+def speaking(hot: np.ndarray, cold: np.ndarray, n_hot: int, n_cold: int) -> np.ndarray:
+    """Which features are evidence of toxicity: far more common among toxic texts, and in several of them."""
+    odds = np.log((hot + 0.5) / (n_hot + 1)) - np.log((cold + 0.5) / (n_cold + 1))
+    return (odds > 2) & (hot + 0.5 > 3)
 
 
 def graded(bounds: np.ndarray, numbers: np.ndarray, values: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Grades of labelled texts: 0 if not toxic; toxic ones 1 or 2, by whether the evidence in them, the share of
     features that are far more common among toxic texts, is below or above the median. The labels know no grades."""
     row_of = np.repeat(np.arange(len(toxic)), np.diff(bounds))
-    hot = toxic[row_of] > 0
-    inside = np.bincount(numbers[hot], minlength=1 << BITS) + 0.5
-    outside = np.bincount(numbers[~hot], minlength=1 << BITS) + 0.5
-    odds = np.log(inside / (toxic.sum() + 1)) - np.log(outside / ((toxic == 0).sum() + 1))
-    evidence = np.bincount(row_of, weights=values**2 * (odds[numbers] > 2) * (inside[numbers] > 3), minlength=len(toxic))
+    hot, cold = (np.bincount(numbers[(toxic[row_of] > 0) == kind], minlength=1 << BITS) for kind in (True, False))
+    evidence = np.bincount(row_of, weights=values**2 * speaking(hot, cold, int(toxic.sum()), int((toxic == 0).sum()))[numbers], minlength=len(toxic))
     middle = np.median(evidence[toxic > 0]) if toxic.any() else 0.0
     return np.where(toxic > 0, 1 + (evidence > middle), 0).astype(np.int64)
 
@@ -148,7 +166,27 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500, seed: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "toxic", "numbers", "vals"])
 
     texts = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "toxic", "text")
-    got = texts.mapInArrow(run, "doc_id long, toxic int, numbers array<int>, vals array<double>").toArrow().combine_chunks()
+    drawn = materialize(texts.mapInArrow(run, "doc_id long, toxic int, numbers array<int>, vals array<double>"), "features")
+    # Whatever the length of the texts, the driver gets counts of at most 2^BITS features, and then only those entries of
+    # the texts whose features tell.
+    tally = drawn.select("toxic", F.explode("numbers").alias("number")).groupBy("number").agg(F.count_if(F.col("toxic") == 1).alias("hot"), F.count_if(F.col("toxic") == 0).alias("cold")).toArrow()
+    seen = {r["toxic"]: r["n"] for r in drawn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    hot, cold = np.zeros(1 << BITS, dtype=np.int64), np.zeros(1 << BITS, dtype=np.int64)
+    for counts_of, name in ((hot, "hot"), (cold, "cold")):
+        counts_of[tally["number"].to_numpy()] = tally[name].to_numpy()
+    n_hot, n_cold = seen.get(1, 0), seen.get(0, 0)
+    kept = telling(hot, cold, n_hot, n_cold, LEAST_Z, LEAST_TEXTS) | speaking(hot, cold, n_hot, n_cold)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            keep = kept[numbers]
+            row_of = np.repeat(np.arange(len(batch)), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row_of[keep], minlength=len(batch))))), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (numbers[keep], batch.column(3).flatten().to_numpy(zero_copy_only=False)[keep])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "toxic", "numbers", "vals"])
+
+    got = drawn.mapInArrow(tell, drawn.schema).toArrow().combine_chunks()
     # Equal whatever order the rows come in.
     got = got.sort_by([("doc_id", "ascending")])
     if not len(got):
@@ -163,7 +201,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500, seed: int =
 
 def score(docs: DataFrame, model: Ordinal, text_col: str = "text", added: tuple[str, str, str] = ("severity", "grade", "toxic")) -> DataFrame:
     """docs with severity (the expected grade), grade (the largest k with P(y >= k) of a half or more) and toxic
-    (grade 1 or more), under the names in added. A null text is empty; an empty one has no features."""
+    (grade 1 or more), under the names in added. A null text is empty; an empty one has no features. Repeated rows come
+    out once each; equal texts get equal results. Empty input: no rows."""
     schema = docs.select("*", F.lit(0.0).alias(added[0]), F.lit(0).alias(added[1]), F.lit(True).alias(added[2])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +217,8 @@ def score(docs: DataFrame, model: Ordinal, text_col: str = "text", added: tuple[
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not toxic, with their columns."""
+    """The rows of docs that are not toxic, with their columns. Null and empty texts have no features and are scored by
+    the thresholds alone; repeated rows stay or go together. Empty input: no rows."""
     severity, grade, toxic = (fresh(docs, c) for c in ("_severity", "_grade", "_toxic"))
     scored = score(docs, learn(docs, labels), added=(severity, grade, toxic))
     return scored.where(~F.col(toxic)).select(*[F.col(c) for c in docs.columns])

@@ -199,6 +199,24 @@ def test_ties_of_different_vectors_go_to_the_smaller_id(spark):
     assert got == nearest(data, ids, np.flatnonzero(ids < 40), 7)
 
 
+def test_ties_over_many_ranges(spark):
+    """Binary vectors in many ranges, so that very many rows have equal scores: each query's rows come in order, ties
+    by id, without repeats, and their scores are nearly always the best there are."""
+    rng = np.random.default_rng(13)
+    data = np.unique(rng.integers(0, 2, (2500, 12)), axis=0).astype(np.float32)
+    data = data[data.any(axis=1)]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(data)], SCHEMA)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, top=10, range_rows=60).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    right = 0
+    for q, rows in got.items():
+        scores = np.delete(data @ data[q], q)
+        assert len(rows) == 10 and rows == sorted(set(rows))
+        right += sum(-s >= np.sort(scores)[-10] for s, _ in rows)
+    assert len(got) == len(range(0, len(data), 20)) and right >= 0.9 * 10 * len(got)
+
+
 def test_copies_split_a_range(spark):
     df = spark.range(600).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), (F.col("id") % 2).cast("double")).alias("embedding"))
     got = ann.nearest(df, F.col("vec_id") == 599, top=5, range_rows=50).orderBy("rank").collect()

@@ -52,6 +52,17 @@ def test_many_records_in_a_file(spark):
     check(spark, [(i, f"u{i}", f"{i} " * (i % 400) + "WARC/1.1\r\n" * (i % 3)) for i in range(300)], 2)
 
 
+def test_payloads_of_megabytes(spark):
+    """Long payloads, copies of them, and magic all through one: read whole from files that are split."""
+    long, magic = "é" * 2_000_000, ("text WARC/1.1\r\nContent-Length: 3\r\n\r\n" * 60_000)[:2_000_000]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000000")
+    try:
+        check(spark, [(1, "a", long), (2, "b", long), (3, "c", magic), (4, "d", "x" * 3_000_000), (5, "e", "")], 2)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_empty(spark):
     assert warc.deduplicated_archive(table(spark, ROWS).where("false")).count() == 0
 
