@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from corvane.llm import jaccard, packing, secrets, toxicity
 from corvane.llm.common import fresh, materialize, table
+from corvane.plans.stages import release, released
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the first grade of severity; the model learns from the labels of those that are here."""
+    """Documents below the first grade of severity; the model learns from the labels of those that are here. Rows with
+    null or empty texts stay, as do rows that repeat one that stays; columns that clash with names of the operator stay
+    as they are. No documents: no rows; no labels: all rows."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -38,7 +41,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document, with its place in a sequence of at most 1024 tokens."""
+    """A row per piece of a document, with its place in a sequence of at most 1024 tokens. A null or empty text is one
+    piece, its end mark; rows that repeat a doc_id are documents of their own; other columns play no part. No documents:
+    no rows."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -54,8 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the rows of the last."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; the rows of the last. What a stage has written goes when the next is done with it."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        keep: list[str] = []
+        with released(keep):
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", keep)
+        if last:
+            release(spark, last)
+        last = keep[0]
     return docs
