@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from corvane.plans.stages import scratch_path
 
 _shipped: set[str] = set()
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While tables are written: what their plans have shuffled goes from the disks with their end, and not when the driver
+#: next collects garbage; batches for Python are bounded in bytes, as texts may be long.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def ship(spark: SparkSession) -> None:
@@ -48,13 +50,14 @@ def materialize(df: DataFrame, name: str, paths: list[str] | None = None) -> Dat
     path = scratch_path(spark, name)
     if paths is not None:
         paths.append(path)
-    # What the plan has shuffled goes from the disks with its end, and not when the driver next collects garbage.
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.coalesce(_tasks(df)).write.parquet(path)  # a table of few bytes has few files, however many partitions its plan has
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

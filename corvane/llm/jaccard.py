@@ -383,9 +383,11 @@ def linked_nodes(docs: DataFrame, members: DataFrame, sketched: DataFrame, nodes
     tried = near.select("a", "b")
     done, each = materialize(components(links), "components"), 1
     open_rows = materialize(led.where("node <> b or salt > 0").select("key", "node"), "open")  # pairs with the least member of a whole bucket are tried
+    open_keys = None
     while True:
         placed = open_rows.join(done, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+        several = several if open_keys is None else several.join(open_keys, "key", "left_semi")
         both = tried.unionByName(tried.select(F.col("a").alias("b"), F.col("b").alias("a")))
         both = both.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tried"))  # at most `each` a round and bucket
         found = materialize(across_components(placed, sketched, both, per_cent, each, sizes=several), "across")
@@ -397,7 +399,7 @@ def linked_nodes(docs: DataFrame, members: DataFrame, sketched: DataFrame, nodes
         tried = tried.unionByName(pairs)
         each *= 4
         # A bucket without such a pair will have none later: components only merge, and pairs tried only grow.
-        open_rows = materialize(open_rows.join(found.where("key is not null").select("key").distinct(), "key", "left_semi"), "open")
+        open_keys = materialize(found.where("key is not null").select("key").distinct(), "open-keys")
         if not more.isEmpty():
             links = links.unionByName(more)
             done = materialize(components(links), "components")

@@ -14,7 +14,7 @@ _LOWER[65:91] += 32
 _CODES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 19
+_BLOCK = 1 << 18
 _powers = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
 
 
