@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import json
 import tempfile
@@ -61,6 +62,13 @@ def materialize(df: DataFrame, name: str, paths: list[str] | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_broadcasts(spark: SparkSession) -> None:
+    """For the end of an operator of very many plans: executors keep broadcast tables of finished plans in memory until
+    the driver collects the last reference to them, so this has it do so, once."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

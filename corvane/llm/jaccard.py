@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import forget_broadcasts, fresh, materialize
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -430,6 +430,7 @@ def _buckets(rows: DataFrame, shared: list[int], frequent: DataFrame) -> DataFra
 
 def _joined(docs: DataFrame, k: int, per_cent: int, bits: int = 64) -> tuple[DataFrame, DataFrame, Nodes]:
     """nodes (doc_id, n, node) of all rows, (node, component, component_id) of those with elements, and the numbers."""
+    spark = docs.sparkSession
     drawn, numbers = numbered(docs, k, bits)
     nodes = drawn.select("doc_id", "n", "node")
     frequent = frequent_keys(docs, k, per_cent, numbers)
@@ -440,6 +441,7 @@ def _joined(docs: DataFrame, k: int, per_cent: int, bits: int = 64) -> tuple[Dat
     linked = linked_nodes(docs, members, sketched, firsts, k, per_cent, numbers)
     classes = materialize(firsts.join(linked, "node", "left").select("node", F.col("doc_id").alias("first_id"), F.coalesce("component", "node").alias("component")), "classes")
     least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    forget_broadcasts(spark)
     return nodes, materialize(classes.join(least, "component").select("node", "component", "component_id"), "labels"), numbers
 
 
