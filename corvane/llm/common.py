@@ -42,6 +42,11 @@ def _tasks(df: DataFrame, per_task: int = 4 << 20) -> int:
     return min(1 << 30, max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // per_task)))
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """df in as many partitions, at most, as what it reads is worth: small results have few files."""
+    return df.coalesce(_tasks(df))
+
+
 def materialize(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: its lineage ends there, and a lost executor costs
     no recomputation of what came before. Spark then knows its size, so joins with it are planned by that size. The
@@ -55,7 +60,7 @@ def materialize(df: DataFrame, name: str, paths: list[str] | None = None) -> Dat
     for k, v in _WRITING.items():
         spark.conf.set(k, v)
     try:
-        df.coalesce(_tasks(df)).write.parquet(path)  # a table of few bytes has few files, however many partitions its plan has
+        compact(df).write.parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget_broadcasts, fresh, materialize
+from .common import compact, forget_broadcasts, fresh, materialize
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -456,7 +456,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, per_cent: int = 80, bits: in
     """
     nodes, labels, _ = _joined(docs, k, per_cent, bits)
     filled = nodes.where("n > 0").join(labels, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return filled.unionByName(nodes.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return compact(filled.unionByName(nodes.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
@@ -473,7 +473,7 @@ def one_of_each(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
     same_id = F.col("doc_id").eqNullSafe(F.col(the_id))
     once = docs.join(materialize(dropped, "dropped"), same_id, "left_anti")
     if repeated.isEmpty():
-        return once
+        return compact(once)
     again = docs.join(repeated, same_id, "left_semi")
     columns = again.columns
 
@@ -486,4 +486,4 @@ def one_of_each(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
     known = again.mapInArrow(run, again.select("*", F.lit(0).cast("long").alias(the_n), F.lit(0).cast("long").alias(the_node)).schema)
     stay = kept.select(F.col("doc_id").alias(the_id), F.col("node").alias(other_node))
     chosen = known.where(F.col(the_n) > 0).join(stay, same_id & (F.col(the_node) == F.col(other_node)), "left_semi").dropDuplicates(["doc_id", the_node])
-    return once.unionByName(chosen.unionByName(known.where(F.col(the_n) == 0)).select(*[F.col(c) for c in columns]))
+    return compact(once.unionByName(chosen.unionByName(known.where(F.col(the_n) == 0)).select(*[F.col(c) for c in columns])))

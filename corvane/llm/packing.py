@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import loaded
-from .common import materialize, small_table
+from .common import compact, materialize, small_table
 
 Pattern = tuple[int, dict[int, int]]  # so many bins, each with so many pieces of a length
 
@@ -189,7 +189,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     full = F.col("length") == capacity
     sequence = F.when(full, -1 - F.col("_rank")).otherwise(F.expr("_bin + _k div _each"))
     offset = F.when(full, F.lit(0)).otherwise(F.expr("_at + _k % _each * length"))
-    return placed.select(*kept, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
+    return compact(placed.select(*kept, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset")))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, keep_ids: bool = False) -> DataFrame:
