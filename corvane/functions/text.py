@@ -72,9 +72,14 @@ def before(c: Column | str, placeholder: str, strict: bool = False) -> Column:
 
 
 def percent(c: Column | str, digits: int = 1, signed: bool = False, width: int = 0) -> Column:
-    """A rate as per cent, "12.5%"; signed with its sign, right-aligned in width; "nan%" for a missing rate."""
+    """A rate as per cent, "12.5%"; signed with its sign, right-aligned in width; "nan%" for a missing rate. As printf and
+    Python do, it rounds the exact double, and keeps the minus of what rounds to zero: so does format_number, but not
+    round, bround and format_string."""
     c = _col(c)
-    shown = F.when(c.isNull() | F.isnan(c), F.lit("nan%")).otherwise(F.format_string(f"%{'+' * signed}.{digits}f%%", F.bround((100 * c).cast("double"), digits)))
+    number = F.replace(F.format_number((100 * c).cast("double"), digits), F.lit(","))
+    if signed:
+        number = F.when(F.startswith(number, F.lit("-")), number).otherwise(F.concat(F.lit("+"), number))
+    shown = F.when(c.isNull() | F.isnan(c), F.lit("nan%")).otherwise(F.concat(number, F.lit("%")))
     return F.when(F.length(shown) < width, F.lpad(shown, width, " ")).otherwise(shown) if width else shown
 
 

@@ -64,6 +64,13 @@ def test_report_formats(spark):
         one(spark, "abc", text.before("x", "<x>", strict=True))
 
 
+def test_percent_rounds_as_printf(spark):
+    """Halves by the exact double, and a minus before what rounds to zero."""
+    for x in (-0.0004, -0.0, 0.0004, 0.4845, 0.9845, -0.9965, 0.0005, -0.0005, 0.0025, 12.3456, -1234.5):
+        assert one(spark, x, text.percent("x"), "double") == f"{x:.1%}"
+        assert one(spark, x, text.percent("x", signed=True, width=9), "double") == f"{x:>+9.1%}"
+
+
 def test_reasoning_block(spark):
     cases = ["<think>a\nb</think>\n 1, 2", "x<think>a</think> y <think>b</think>z", "<think>open", "none", " <think></think> "]
     assert many(spark, cases, text.strip_block("x")) == ["1, 2", "xy z", "<think>open", "none", ""]

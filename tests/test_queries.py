@@ -43,3 +43,17 @@ def test_shard_union_covers_every_row(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["lang"]: (r["n"], r["first"], r["last"]) for r in entry.queries()["shard_union"](spark, str(tmp_path)).collect()}
     assert got == {"en": (2, 1, 4), None: (2, 2, 5), "it": (1, 3, 3), "": (1, 6, 6)}
+
+
+def test_comparison_report_of_small_deltas(spark, tmp_path):
+    """A delta that rounds to zero from below, and rates halfway between two tenths of a per cent."""
+    docs = [(i, "en" if i < 4000 else "de", int(i < 2001 or 4000 <= i < 5969)) for i in range(6000)]
+    rows = spark.createDataFrame(docs, "doc_id long, lang string, quality int")
+    rows.drop("quality").write.parquet(f"{tmp_path}/documents.parquet")
+    rows.drop("lang").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = [tuple(r) for r in entry.queries()["comparison_report"](spark, str(tmp_path)).collect()]
+    assert got == sorted(con.execute(SQL["comparison_report"]).fetchall())
+    assert got[:2] == [("1de", f"{'de':<12} {'98.5%':>13} {'98.4%':>15} {'-0.1%':>9}"), ("1en", f"{'en':<12} {'50.0%':>13} {'50.0%':>15} {'-0.0%':>9}")]
